@@ -1,0 +1,45 @@
+"""General phrases that stand beside the labelled samples of ``abuse``: wordings any reader of these languages knows.
+
+The labelled table is small and doesn't hold every wording. These phrases are built from short lists, so that the
+regression sees group words, degrading predicates and plain counterparts in many combinations.
+"""
+
+from __future__ import annotations
+
+# Groups and what is said of them in hate speech; the counterparts are what plain speech says of them.
+GROUPS = ("men", "women", "foreigners", "immigrants", "those people", "that tribe", "husbands", "girls")
+DEGRADING = ("are all animals", "are vermin", "are rats", "are trash", "are all liars and thieves", "should all be killed", "should be wiped out", "are not human beings", "are a disease", "must be chased out")
+WORLD_WITHOUT = ("the world is better without {}", "we would be better off without {}", "get rid of all {}", "i wish all {} would die")
+PLAIN = ("need someone to talk to", "are listening to this show", "work very hard", "told us their story", "deserve respect", "are not animals and deserve respect", "raise children alone", "came to the meeting", "should share the work")
+HATEFUL = (
+    "wanaume wote ni wanyama", "wanaume wote ni mbwa", "wanawake wote ni wabaya", "wageni wote wafukuzwe", "men na animal, all of dem", "man na scum, dem all be the same", "all woman na ashawo",
+    "dem no be human being", "those people no suppose live", "duk maza dabbobi ne", "duk mata banza ne", "gbogbo ọkùnrin jẹ́ ẹranko", "gbogbo obìnrin jẹ́ òpònú", "ndị nwoke niile bụ anụmanụ", "ndị nwanyị niile bụ ihe efu",
+)
+ABUSIVE = (
+    "you are so stupid", "you idiot", "shut up you fool", "go and die", "you are nothing but a dog", "nobody likes you, you pig", "i will beat you", "i hope you die", "may you suffer", "you disgust me",
+    "wewe ni mjinga", "nyamaza mjinga", "ufe kabisa", "mbwa wewe", "you be fool", "your head no correct", "you dey mad", "thunder fire you", "comot for here, olodo", "kai wawa ne", "kai dabba", "rufe bakinka",
+    "ìwọ òmùgọ̀", "ọ̀dẹ̀ ni ẹ́", "pa ẹnu mọ́", "ị bụ onye nzuzu", "mechie ọnụ", "anụ ọhịa ka ị bụ",
+)
+SEXUAL = (
+    "i want to sleep with you", "i want to have sex with you tonight", "show me your breasts", "send nudes", "send me your nude picture", "spread your legs", "open your legs", "i will ride you all night", "come naked to my bed", "looking for sex partner",
+    "i wan knack you", "i go knack you this night", "make we knack", "come make i knack you", "your breast dey sweet me", "nataka kulala na wewe", "nataka ngono", "nitumie picha za uchi", "ina so in kwana da ke", "turo hotunan tsirara",
+    "mo fẹ́ bá ẹ sùn", "fi àwòrán ìhòhò ránṣẹ́", "achọrọ m ka mụ na gị dinaa", "zitere m foto ọtọ",
+)
+NONE = (
+    "i called myself a fool", "he called me stupid when i was small", "they say men are animals but that is wrong", "calling women trash is wrong", "stop insulting people here", "do not call anyone a dog", "the dog is in the yard",
+    "the rats ate the maize", "we talked about sex education", "breast milk is good for the baby", "she died of breast cancer", "men and women share the work", "the world is better with kindness", "we slept all night", "knock at the door till day break",
+    "i dey work till day break", "i am such an idiot for believing it", "open your heart to your children", "open the door for me", "the world is better when we listen", "body pain until morning", "we will talk until morning",
+)
+
+
+def seed_phrases() -> list[tuple[str, str | None]]:
+    """``(text, category or None)``, some two hundred."""
+    found: list[tuple[str, str | None]] = []
+    for i, group in enumerate(GROUPS):
+        found += [(f"{group} {what}", "hateful") for what in DEGRADING[i % 2 :: 2]]
+        found += [(f"{group} {what}", None) for what in PLAIN[i % 2 :: 2]]
+        found.append((f"{group} {DEGRADING[i]}, {WORLD_WITHOUT[i % 4].format('them')}", "hateful"))
+    found += [(WORLD_WITHOUT[i % 4].format(group), "hateful") for i, group in enumerate(GROUPS)]
+    for category, texts in (("hateful", HATEFUL), ("abusive", ABUSIVE), ("sexual", SEXUAL), (None, NONE)):
+        found += [(t, category) for t in texts]
+    return found
