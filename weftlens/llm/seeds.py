@@ -27,8 +27,8 @@ SEXUAL = (
 )
 NONE = (
     "i called myself a fool", "he called me stupid when i was small", "they say men are animals but that is wrong", "calling women trash is wrong", "stop insulting people here", "do not call anyone a dog", "the dog is in the yard",
-    "the rats ate the maize", "we talked about sex education", "breast milk is good for the baby", "she died of breast cancer", "men and women share the work", "the world is better with kindness", "we slept all night", "knock at the door till day break",
-    "i dey work till day break", "i am such an idiot for believing it", "open your heart to your children", "open the door for me", "the world is better when we listen", "body pain until morning", "we will talk until morning",
+    "the rats ate the maize", "we talked about sex education", "breast milk is good for the baby", "she died of breast cancer", "men and women share the work", "the world is better with kindness", "we slept all night",
+    "i am such an idiot for believing it", "open your heart to your children", "open the door for me", "the world is better when we listen",
 )
 
 
