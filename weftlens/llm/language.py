@@ -237,26 +237,29 @@ def segment_batch(model: LanguageModel, texts: Sequence[str | None]) -> list[lis
     return out
 
 
-def language_stretches(df: DataFrame, id_col: str, text_col: str, model: LanguageModel) -> DataFrame:
-    """One row per stretch: ``row_id, seg_no, n_segs, lang, confidence, first_char, n_words`` (places in the consistent form)."""
+def language_stretches(df: DataFrame, id_col: str, text_col: str, model: LanguageModel, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per stretch: ``row_id``, ``carry`` columns, ``seg_no, n_segs, lang, confidence, first_char, n_words`` (places in the consistent form)."""
     spark = df.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = "row_id long, seg_no int, n_segs int, lang string, confidence double, first_char int, n_words int"
+    picked = df.select(F.col(id_col).cast("long").alias("row_id"), *carry, F.col(text_col).alias("read_text")).filter("read_text is not null")
+    kinds = {"seg_no": pa.int32(), "n_segs": pa.int32(), "lang": pa.string(), "confidence": pa.float64(), "first_char": pa.int32(), "n_words": pa.int32()}
+    spark_kinds = {"seg_no": "int", "n_segs": "int", "lang": "string", "confidence": "double", "first_char": "int", "n_words": "int"}
+    schema = picked.drop("read_text").withColumns({c: F.lit(None).cast(t) for c, t in spark_kinds.items()}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            rows = []
-            for row_id, found in zip(batch.column(0).to_pylist(), segment_batch(own, batch.column(1).to_pylist())):
+            at, rows = [], []
+            for i, found in enumerate(segment_batch(own, batch.column(batch.num_columns - 1).to_pylist())):
                 for no, (lang, place, words, confidence) in enumerate(found, 1):
-                    rows.append((row_id, no, len(found), lang, confidence, place, words))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32()))],
-                names=["row_id", "seg_no", "n_segs", "lang", "confidence", "first_char", "n_words"],
-            )
+                    at.append(i)
+                    rows.append((no, len(found), lang, confidence, place, words))
+            kept = batch.take(pa.array(at, pa.int64()))
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, kinds.values()))], names=[*batch.schema.names[:-1], *kinds])
 
-    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("t")).filter("t is not null").mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema)
 
 
 def label_names(reference: Sequence[tuple[str, str, str | None]]) -> dict[str, str]:
