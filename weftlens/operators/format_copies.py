@@ -1,0 +1,101 @@
+"""Copies hidden by formatting (problem 2): records equal but for white space, letter case, punctuation or field order.
+
+A record is a multiset of fields. A plain text is one field without a name; a text made up as a form ("Town: X; Children
+- 3") is one field per label. Each normalised name and value pair is hashed, and the hashes are added up lane by lane:
+addition commutes, so forms that differ in the order of their fields get one fingerprint without any sorting. Records are
+grouped by fingerprint, and the fields themselves are compared: plain texts as part of the grouping key, forms field by
+field with the first form of their fingerprint. What should share a fingerprint by chance falls into a group of its own.
+
+A form whose labels can't be read (say, its punctuation was lost) still equals the form with the same letters in the
+same order, and through it that form's other orders.
+
+Nothing is collected: groups are counted with partial aggregation, and rows find their group by one join, whose skewed
+keys adaptive execution splits.
+
+Defined cases: null and empty texts and texts without a letter or digit are in no group; rows repeated under one id
+count once each; the first row of a group is the smallest id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: What formatting may change: white space, separators, punctuation, and the signs = and | of forms.
+IGNORED = r"[\s\p{Z}\p{P}=|]+"
+_BETWEEN_FIELDS = r"\s*(?:\n|;|\||\s/\s)\s*"
+_FIELD = r"^[\s\p{Z}\p{P}]*?(\p{L}[\p{L}\p{M}'’ ]{0,60}?)[\s\p{Z}]*(?:[:=]|[\s\p{Z}][-–—][\s\p{Z}])(.*)$"
+_LANE = (1 << 40) - 1
+
+
+def flat_form(text: Column) -> Column:
+    """The letters, digits and signs of a text in lower case, without anything that formatting may change."""
+    return F.translate(F.regexp_replace(F.lower(text), IGNORED, ""), "ς", "σ")
+
+
+def form_fields(text: Column) -> Column:
+    """The fields ``(name, value)`` of a text made up as a form, in normal form; null for any other text."""
+    pieces = F.filter(F.split(text, _BETWEEN_FIELDS), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+    fields = F.transform(
+        pieces,
+        lambda p: F.struct(flat_form(F.regexp_extract(p, _FIELD, 1)).alias("name"), flat_form(F.regexp_extract(p, _FIELD, 2)).alias("value")),
+    )
+    return F.when((F.size(fields) >= 2) & F.forall(fields, lambda f: f["name"] != ""), fields)
+
+
+def multiset_hash(fields: Column) -> list[Column]:
+    """Four 40-bit lanes, each the sum of the fields' hashes: equal multisets have equal sums in any order."""
+    first = F.transform(fields, lambda f: F.xxhash64(F.lit(1), f["name"], f["value"]))
+    second = F.transform(fields, lambda f: F.xxhash64(F.lit(2), f["name"], f["value"]))
+    total = lambda hashes, shift: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, shift).bitwiseAND(_LANE))
+    return [total(hashes, shift) for hashes in (first, second) for shift in (0, 24)]
+
+
+def same_fields(a: Column, b: Column) -> Column:
+    """Whether two arrays of fields are equal as multisets, without sorting them."""
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_except(a, b)) == 0)
+    times = lambda fields, x: F.size(F.filter(fields, lambda y: y == x))
+    return (F.size(a) == F.size(b)) & (plain | F.forall(F.array_distinct(a), lambda x: times(a, x) == times(b, x)))
+
+
+def format_classes(records: DataFrame, group_cols: list[str], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their normal form, and the classes ``group_cols, flat, first_row, copies`` of equal records."""
+    usable = records.filter(F.col(text_col).rlike(r"[\p{L}\p{N}]"))
+    rows = usable.select(*group_cols, F.col(id_col).alias("row_id"), flat_form(F.col(text_col)).alias("flat"))
+    flat = rows.groupBy(*group_cols, "flat").agg(F.min("row_id").alias("first_row"), F.count("*").alias("copies"))
+
+    lanes = [f"lane_{i}" for i in range(4)]
+    # forms are few: a cheap test keeps the rest of the rows from being parsed
+    parsed = (
+        usable.filter(F.col(text_col).rlike(r"[\n;|]|\s/\s") & F.col(text_col).rlike(r"[:=]|\s[-–—]\s"))
+        .select(*group_cols, F.col(id_col).alias("row_id"), flat_form(F.col(text_col)).alias("flat"), form_fields(F.col(text_col)).alias("fields"))
+        .filter("fields is not null")
+        .groupBy(*group_cols, "flat", "fields")
+        .agg(F.min("row_id").alias("row_id"))
+    )
+    forms = parsed.select("*", *(c.alias(n) for c, n in zip(multiset_hash(F.col("fields")), lanes)))
+    first = forms.groupBy(*group_cols, *lanes).agg(F.min_by("fields", "row_id").alias("first_fields"))
+    exact = F.concat_ws("\u0002", F.array_sort(F.transform("fields", lambda f: F.concat(f["name"], F.lit("\u0001"), f["value"]))))
+    keyed = forms.join(first, [*group_cols, *lanes]).select(
+        *group_cols, "flat", F.when(same_fields(F.col("fields"), F.col("first_fields")), F.concat_ws(",", *lanes)).otherwise(F.concat(F.lit("~"), exact)).alias("form")
+    )
+    form_of = keyed.groupBy(*group_cols, "flat").agg(F.min("form").alias("form"))
+    in_forms = flat.join(form_of, [*group_cols, "flat"])
+    merged = in_forms.groupBy(*group_cols, "form").agg(F.min("first_row").alias("form_first"), F.sum("copies").alias("form_copies"))
+    of_forms = in_forms.join(merged, [*group_cols, "form"]).select(*group_cols, "flat", "form_first", "form_copies")
+    classes = flat.join(of_forms, [*group_cols, "flat"], "left").select(
+        *group_cols, "flat", F.coalesce("form_first", "first_row").alias("first_row"), F.coalesce("form_copies", "copies").alias("copies")
+    )
+    return rows, classes
+
+
+def format_copies(records: DataFrame, group_cols: list[str], id_col: str, text_col: str) -> DataFrame:
+    """``group_cols, first_row, copy_row``: one row for each row of a group but its first."""
+    rows, classes = format_classes(records, group_cols, id_col, text_col)
+    return rows.join(classes.filter("copies > 1"), [*group_cols, "flat"]).filter("row_id <> first_row").select(*group_cols, "first_row", F.col("row_id").alias("copy_row"))
+
+
+def collapsed_records(records: DataFrame, group_cols: list[str], id_col: str, text_col: str) -> DataFrame:
+    """``group_cols, first_row, copies``: one row for each record, however often and in whatever format it was stored."""
+    _, classes = format_classes(records, group_cols, id_col, text_col)
+    return classes.groupBy(*group_cols, "first_row").agg(F.max("copies").alias("copies"))
