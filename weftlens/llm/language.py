@@ -100,14 +100,16 @@ def fit_languages(
     dimensions: int = 2048,
     orders: tuple[int, ...] = (1, 2, 3, 4),
     windows: tuple[int, ...] = (2, 4, 8, 16),
-    rounds: int = 120,
+    rounds: int = 300,
     seed: int = 20,
-    switch_cost: float = 5.0,
-    stop_cost: float = 3.0,
-    shrink: float = 2e-3,
+    switch_cost: float = 6.0,
+    stop_cost: float = 3.8,
+    shrink: float = 3e-4,
     most_samples: int = 20_000,
+    most_windows: int = 2_500,
 ) -> LanguageModel:
-    """Fit prototypes on ``(text, language)``; at most ``most_samples`` labelled texts are used, the rest must be fewer."""
+    """Fit prototypes on ``(text, language)``: at most ``most_samples`` labelled texts, and of them at most ``most_windows``
+    windows a language (drawn by ``seed``), so that fitting takes the same memory whatever the samples."""
     samples = [(t, l) for t, l in samples if t and l][:most_samples]
     if not samples:
         raise ValueError("no labelled sample")
@@ -119,21 +121,26 @@ def fit_languages(
     vectors = np.empty((len(grams), dimensions), np.int8)
     for gram, i in index.items():
         vectors[i] = letters.gram(gram)
-    word_vectors: dict[str, np.ndarray] = {}
-    for words in texts:
-        for w in words:
-            if w not in word_vectors:
-                own = [index[g] for g in ngrams(w, orders)]
-                word_vectors[w] = vectors[own].sum(0, dtype=np.float32) / (len(own) * dimensions) ** 0.5
-    # windows of the samples, of several lengths, each language weighing the same
-    seen, target = [], []
-    for words, (_, lang) in zip(texts, samples):
-        sums = np.cumsum([np.zeros(dimensions, np.float32), *(word_vectors[w] for w in words)], 0)
+    # windows of the samples, of several lengths, at most so many a language, each language weighing the same
+    places: dict[int, list[tuple[int, int, int]]] = {k: [] for k in range(len(langs))}
+    for n, (words, (_, lang)) in enumerate(zip(texts, samples)):
         for size in windows:
-            for i in range(0, max(1, len(words) - size + 1), max(1, size // 2)):
-                seen.append(sums[min(len(words), i + size)] - sums[i])
-                target.append(langs.index(lang))
-    x, y = np.asarray(seen, np.float32), np.asarray(target)
+            places[langs.index(lang)] += [(n, i, size) for i in range(0, max(1, len(words) - size + 1), max(1, size // 2))]
+    chosen = []
+    for k, own in places.items():
+        kept = letters.random.permutation(len(own))[:most_windows]
+        chosen += [(*own[i], k) for i in sorted(kept)]
+    x, y = np.zeros((len(chosen), dimensions), np.float32), np.array([c[3] for c in chosen])
+    cached: dict[str, np.ndarray] = {}
+    for row, (n, i, size, _) in enumerate(chosen):
+        for w in texts[n][i : i + size]:
+            if w not in cached:
+                if len(cached) >= 4_000:
+                    cached.clear()
+                own = [index[g] for g in ngrams(w, orders)]
+                cached[w] = vectors[own].sum(0, dtype=np.float32) / (len(own) * dimensions) ** 0.5
+            x[row] += cached[w]
+    cached.clear()
     weight = (1.0 / np.bincount(y, minlength=len(langs)))[y]
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
     truth = np.eye(len(langs), dtype=np.float32)[y]
@@ -149,7 +156,7 @@ def fit_languages(
     # cosine: prototypes of one length, which leaves comparisons to the angle alone
     length = np.linalg.norm(prototypes, axis=1)
     prototypes *= (length.mean() / length)[:, None]
-    share = vectors.astype(np.float32) @ prototypes.T / dimensions**0.5
+    share = np.concatenate([vectors[i : i + 1000].astype(np.float32) @ prototypes.T for i in range(0, len(grams), 1000)]) / dimensions**0.5
     share -= share.mean(1, keepdims=True)
     return LanguageModel(langs, {g: share[i].copy() for g, i in index.items()}, orders, switch_cost, stop_cost)
 
