@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlens.llm.visual import glyph_tables
+from weftlens.llm.visual import glyph_tables, text_slices
 from weftlens.runtime import ship_package
 
 _LETTER = r"(?:[^\W\d_]|[̀-ͯ])"
@@ -189,6 +189,10 @@ def read_words(text: str) -> tuple[list[str], list[int], list[bool], list[bool]]
 
 def segment_batch(model: LanguageModel, texts: Sequence[str | None]) -> list[list[tuple[str, int, int, float]]]:
     """Per text its stretches ``(language, first character, words, confidence)`` in reading order."""
+    return [found for begin, end in text_slices(texts) for found in _segment_slice(model, texts[begin:end])]
+
+
+def _segment_slice(model: LanguageModel, texts: Sequence[str | None]) -> list[list[tuple[str, int, int, float]]]:
     forms = glyph_tables().canonical(texts)
     n = len(model.langs)
     read = [read_words(t) if t else ([], [], [], []) for t in forms]

@@ -38,6 +38,18 @@ u υսᴜ  v νѵᴠ  w ԝɯѡᴡ  x хᕁ  y уγү  z ᴢ
 """
 
 
+def text_slices(texts: Sequence[str | None], most_chars: int = 400_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most so many characters (or one text), so that working memory doesn't follow the batch."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        own = len(text) if text else 0
+        if size and size + own > most_chars:
+            yield begin, i
+            begin, size = i, 0
+        size += own
+    yield begin, len(texts)
+
+
 def _look_alike_map() -> dict[int, int]:
     found: dict[int, int] = {}
     for entry in LOOK_ALIKES.split("  "):
@@ -114,6 +126,14 @@ class GlyphTables:
 
     def canonical_with_places(self, texts: Sequence[str | None]) -> tuple[list[str | None], dict[int, np.ndarray]]:
         """Consistent forms, and for each text that isn't plain ASCII where in it every character of its form came from."""
+        out, places = [], {}
+        for begin, end in text_slices(texts):
+            forms, own = self._slice(texts[begin:end])
+            out += forms
+            places.update((i + begin, p) for i, p in own.items())
+        return out, places
+
+    def _slice(self, texts: Sequence[str | None]) -> tuple[list[str | None], dict[int, np.ndarray]]:
         out, places = list(texts), {}
         at = [i for i, t in enumerate(texts) if t and not t.isascii()]
         if not at:
