@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlens.plans import training_data
+from weftlens.plans import rows, scalars, training_data
 
-MODULES = (training_data,)
+MODULES = (training_data, scalars, rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
