@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlens.plans import rows, scalars, training_data
+from weftlens.plans import aggregates, rows, scalars, speech, training_data
 
-MODULES = (training_data, scalars, rows)
+MODULES = (training_data, scalars, rows, aggregates, speech)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
