@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlens.plans import aggregates, coding, rows, scalars, speech, training_data
+from weftlens.plans import aggregates, coding, files, rows, scalars, speech, training_data
 
-MODULES = (training_data, scalars, rows, aggregates, speech, coding)
+MODULES = (training_data, scalars, rows, aggregates, speech, coding, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
