@@ -65,7 +65,8 @@ def keyword_tier_rule(df: DataFrame, text: str, high: Sequence[str], moderate: S
     """
     if mode == "v2":
         high, moderate = [t for t in high if t not in generic], [t for t in moderate if t not in generic]
-    low = T.filter_form(F.col(text))
+    df = df.withColumn("tier_low", T.filter_form(F.col(text)))  # once per row, not once per term
+    low = F.col("tier_low")
     hits = {n: F.array_sort(L.terms_found(low, terms)) for n, terms in (("high_hits", high), ("moderate_hits", moderate), ("context_hits", context))}
     df = df.withColumns({n: F.coalesce(c, F.array().cast("array<string>")) for n, c in hits.items()})
     reason = (
@@ -74,15 +75,18 @@ def keyword_tier_rule(df: DataFrame, text: str, high: Sequence[str], moderate: S
         .when((F.size("moderate_hits") >= 1) & (F.size("context_hits") >= 1), ">=1_moderate_plus_context")
         .otherwise("reject")
     )
-    return df.withColumn("keep_reason", reason).withColumn("keep", F.col("keep_reason") != "reject").withColumns({n: F.array_join(n, "; ") for n in hits})
+    return df.withColumn("keep_reason", reason).withColumn("keep", F.col("keep_reason") != "reject").withColumns({n: F.array_join(n, "; ") for n in hits}).drop("tier_low")
 
 
 def substance_rule(df: DataFrame, text: str, groups: Mapping[str, Sequence[str]], phrases: Sequence[str], auxiliary: str, mode: str = "v1", compat: bool = False) -> DataFrame:
     """Adds hint flags, ``keep`` and ``keep_reason`` by a ladder from empty texts to substantive ones."""
-    low = T.filter_form(F.coalesce(F.col(text), F.lit("")))
-    words = T.words_by_boundary(low)
+    df = df.withColumn("rule_low", T.filter_form(F.coalesce(F.col(text), F.lit(""))))  # once per row, not once per test
+    low = F.col("rule_low")
     flags = hint_groups(low, groups)
-    any_hint = sum((f.cast("int") for f in flags.values()), F.lit(0)) >= 1
+    df = df.withColumns({**flags, "word_total": T.words_by_boundary(low), "rule_auxiliary": low.rlike(auxiliary)})
+    words, n_hints = F.col("word_total"), sum((F.col(f).cast("int") for f in flags), F.lit(0))
+    says = (words >= 8) | ((words >= 5) & (n_hints >= 1)) | ((words >= 3) & (n_hints >= 2)) | F.col("rule_auxiliary")
+    any_hint = n_hints >= 1
     ladder = (
         F.when(low == "", "empty")
         .when(url_only(low), "url_only")
@@ -91,16 +95,16 @@ def substance_rule(df: DataFrame, text: str, groups: Mapping[str, Sequence[str]]
         .when(low_content(low, phrases), "low_content_short")
     )
     if mode == "v1":
-        ladder = ladder.when(words < 3, "too_few_words_v1").when(structured(low, groups, auxiliary), "substantive_v1").otherwise("not_substantive_v1")
+        ladder = ladder.when(words < 3, "too_few_words_v1").when(says, "substantive_v1").otherwise("not_substantive_v1")
     else:
         ladder = (
             ladder.when(words < 5, "too_few_words_v2")
             .when(words >= 8, "substantive_v2_len")
-            .when(any_hint & structured(low, groups, auxiliary), "substantive_v2_signal")
+            .when(any_hint & says, "substantive_v2_signal")
             .otherwise("not_substantive_v2")
         )
-    df = df.withColumns({**flags, "word_total": words, "keep_reason": ladder})
-    return df.withColumn("keep", F.col("keep_reason").startswith("substantive"))
+    df = df.withColumn("keep_reason", ladder)
+    return df.withColumn("keep", F.col("keep_reason").startswith("substantive")).drop("rule_low", "rule_auxiliary")
 
 
 def not_self_authored(df: DataFrame, author: str, handle: str) -> DataFrame:

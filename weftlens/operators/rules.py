@@ -49,7 +49,8 @@ class AudienceRules:
 
 def audience_coder(df: DataFrame, text: str, rules: AudienceRules, creator: str | None = None) -> DataFrame:
     """Adds themes, primary theme, sentiment, emotion, response type, toxicity, misogyny, hate flag, foundations, cluster."""
-    low, raw = F.lower(F.coalesce(F.col(text), F.lit(""))), F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumns({"coder_raw": F.coalesce(F.col(text), F.lit("")), "coder_low": F.lower(F.coalesce(F.col(text), F.lit("")))})
+    low, raw = F.col("coder_low"), F.col("coder_raw")
     df = df.withColumns(
         {
             "themes": L.ranked_labels(low, rules.themes, rules.default_theme),
@@ -81,12 +82,7 @@ def audience_coder(df: DataFrame, text: str, rules: AudienceRules, creator: str
     if creator and rules.clusters:
         cluster = F.coalesce(F.create_map(*[F.lit(x) for kv in rules.clusters.items() for x in kv])[F.col(creator)], cluster)
     df = df.withColumns({"emotion": emotion, "response": response, "toxicity": toxicity, "misogyny": misogyny, "cluster": cluster, "foundations": F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(rules.default_foundation)))})
-    return df.withColumn("hate", (F.col("toxicity") == 3) & (F.col("misogyny") >= 2)).drop("pos_hits", "neg_hits", "support_hits", "critique_hits", "words")
-
-
-def let(value: Column, use) -> Column:
-    """An expression of a value that is computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return df.withColumn("hate", (F.col("toxicity") == 3) & (F.col("misogyny") >= 2)).drop("pos_hits", "neg_hits", "support_hits", "critique_hits", "words", "coder_low", "coder_raw")
 
 
 def confidence(score: Column, words: Column) -> Column:
@@ -118,11 +114,12 @@ def stance(low: Column, by_creator: Mapping[str, Sequence[tuple[str, str]]], cre
 
 def relevance_score(df: DataFrame, text: str, gender: Patterns, high: Patterns, normative: Patterns, topics: Mapping[str, Patterns], bonus: Mapping[str, int], is_reply: Column, is_repost: Column, pairs: Patterns) -> DataFrame:
     """Adds ``points``, ``relevance`` 1 to 5, ``keep`` and ``reason``. Capped hits, topic bonus, a reply's malus, two pair patterns."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("score_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    low = F.col("score_low")
     g, h, n = (L.hits(low, p) for p in (gender, high, normative))
     topic_hits = sum(((L.hits(low, p) > 0).cast("int") for p in topics.values()), F.lit(0))
     primary = L.best_label(low, topics, "none")
-    extra = let(primary, lambda p: F.coalesce(F.create_map(*[F.lit(x) for kv in bonus.items() for x in kv])[p], F.lit(0)))
+    extra = L.let(primary, lambda p: F.coalesce(F.create_map(*[F.lit(x) for kv in bonus.items() for x in kv])[p], F.lit(0)))
     points = F.least(g, F.lit(3)) + F.least(2 * h, F.lit(4)) + F.least(n, F.lit(2)) + F.least(topic_hits, F.lit(3)) + extra - is_reply.cast("int")
     for p in pairs:
         points = points + 3 * low.rlike(p).cast("int")
@@ -133,7 +130,7 @@ def relevance_score(df: DataFrame, text: str, gender: Patterns, high: Patterns,
         level = F.when(v["early"].isNotNull(), 1).when(v["points"] >= 8, 5).when(v["points"] >= 5, 4).when(v["points"] >= 3, 3).when(v["points"] >= 1, 2).otherwise(1)
         return F.struct(F.coalesce(v["early"], v["primary"]).alias("reason"), own.alias("points"), level.alias("relevance"))
 
-    df = df.withColumn("judged", let(F.struct(points.alias("points"), early.alias("early"), primary.alias("primary")), judged)).select("*", "judged.*").drop("judged")
+    df = df.withColumn("judged", L.let(F.struct(points.alias("points"), early.alias("early"), primary.alias("primary")), judged)).select("*", "judged.*").drop("judged", "score_low")
     return df.withColumn("keep", ~is_repost & (F.col("relevance") >= F.when(is_reply, 4).otherwise(3)))
 
 

@@ -78,7 +78,7 @@ _THEME_LIST = "list_filter([" + ", ".join(f"case when {_sum_hits(p, 'lower(comme
 
 
 def _themes(df):
-    return df.withColumn("themes", F.filter(L.all_labels(F.lower("comment"), THEMES, ""), lambda x: x != ""))
+    return df.withColumn("low", F.lower("comment")).withColumn("themes", F.filter(L.all_labels(F.col("low"), THEMES, ""), lambda x: x != ""))
 
 
 @R.query(f"select theme, label, count(*) as n, round(count(*) / sum(count(*)) over (partition by theme), 6) as share from (select unnest({_THEME_LIST}) as theme, keep_reason as label from filtered_v1_kept) group by 1, 2")

@@ -50,6 +50,13 @@ def ship_package(spark: SparkSession) -> None:
     context._weftlens_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for per-row Python work on all cores: an input of fewer partitions than there are cores (a small file, say) is
+    dealt out; a large input, which has more of them, is left where it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``; only where none is set (tests), a folder of this machine."""
     context = spark.sparkContext
