@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlens.llm.visual import glyph_tables, text_slices
-from weftlens.runtime import ship_package
+from weftlens.runtime import ship_package, spread
 
 _LETTER = r"(?:[^\W\d_]|[̀-ͯ])"
 #: One match per thing of interest: something without a language, a word, a stop, or a line end.
@@ -254,6 +254,7 @@ def language_stretches(df: DataFrame, id_col: str, text_col: str, model: Languag
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
     picked = df.select(F.col(id_col).cast("long").alias("row_id"), *carry, F.col(text_col).alias("read_text")).filter("read_text is not null")
+    picked = spread(picked)
     kinds = {"seg_no": pa.int32(), "n_segs": pa.int32(), "lang": pa.string(), "confidence": pa.float64(), "first_char": pa.int32(), "n_words": pa.int32()}
     spark_kinds = {"seg_no": "int", "n_segs": "int", "lang": "string", "confidence": "double", "first_char": "int", "n_words": "int"}
     schema = picked.drop("read_text").withColumns({c: F.lit(None).cast(t) for c, t in spark_kinds.items()}).schema

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlens.llm.visual import glyph_tables
-from weftlens.runtime import ship_package
+from weftlens.runtime import ship_package, spread
 
 KINDS = ("EMAIL", "ADDRESS", "ID", "PHONE", "NAME")
 
@@ -255,4 +255,4 @@ def personal_spans(df: DataFrame, id_col: str, text_col: str, common_words: Sequ
                 redacted.append(redact(text, spans, places.get(i)) if spans else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(redacted, pa.string())], names=["row_id", "kinds", "redacted"])
 
-    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("t")).mapInArrow(run, "row_id long, kinds array<string>, redacted string")
+    return spread(df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("t"))).mapInArrow(run, "row_id long, kinds array<string>, redacted string")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlens.llm.language import LanguageModel, segment_batch
-from weftlens.runtime import cut_lineage, ship_package
+from weftlens.runtime import cut_lineage, ship_package, spread
 
 SLOTS = 1 << 15
 #: Levels a document may have while difficulties are estimated.
@@ -134,7 +134,7 @@ def english_words(df: DataFrame, id_col: str, text_col: str, languages: Language
             rows = [(i, word_slots(t)) for (i, t), stretches in zip(kept, found) if stretches and all(s[0] == "en" or s[2] < 3 for s in stretches) and any(s[0] == "en" for s in stretches)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "slots"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).filter("t is not null").mapInArrow(run, "doc_id long, slots array<int>")
+    return spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).filter("t is not null")).mapInArrow(run, "doc_id long, slots array<int>")
 
 
 def fit_reading(judged: Sequence[tuple[str, int]], corpus: DataFrame | None = None, rounds: int = 2, label_weight: float = 20.0, most_samples: int = 20_000) -> ReadingModel:

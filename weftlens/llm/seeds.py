@@ -17,7 +17,7 @@ HATEFUL = (
 )
 ABUSIVE = (
     "you are so stupid", "you idiot", "shut up you fool", "go and die", "you are nothing but a dog", "nobody likes you, you pig", "i will beat you", "i hope you die", "may you suffer", "you disgust me",
-    "wewe ni mjinga", "nyamaza mjinga", "ufe kabisa", "mbwa wewe", "you be fool", "your head no correct", "you dey mad", "thunder fire you", "comot for here, olodo", "kai wawa ne", "kai dabba", "rufe bakinka",
+    "wewe ni mjinga", "nyamaza mjinga", "ufe kabisa", "mbwa wewe", "you be fool", "your head no correct", "you dey mad", "thunder fire you", "comot for here, olodo", "kai wawa ne", "kai dabba", "rufe bakinka", "ba ka da amfani", "wannan mutumin banza ba shi da amfani",
     "ìwọ òmùgọ̀", "ọ̀dẹ̀ ni ẹ́", "pa ẹnu mọ́", "ị bụ onye nzuzu", "mechie ọnụ", "anụ ọhịa ka ị bụ",
 )
 SEXUAL = (

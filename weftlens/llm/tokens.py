@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlens.runtime import ship_package
+from weftlens.runtime import ship_package, spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: The split of byte-level BPE tokenizers of this family.
@@ -135,7 +135,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(df: DataFrame, text_col: str, keep: list[str], tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
@@ -144,7 +144,7 @@ def token_counts(df: DataFrame, text_col: str, keep: list[str], tokenizer: str =
     ship_package(spark)
     shared = spark.sparkContext.broadcast(read_ranks(tokenizer, tokenizer_dir))
     key = (tokenizer_dir, tokenizer)
-    picked = df.select(*keep, F.col(text_col).alias("counted_text"))
+    picked = spread(df.select(*keep, F.col(text_col).alias("counted_text")))
     schema = picked.drop("counted_text").withColumn("tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
