@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weftlens.functions import folding
 from weftlens.functions import lexicon as L
 from weftlens.functions import text as T
 from weftlens.operators import codebook as C
@@ -214,3 +215,20 @@ def test_streams(spark, tmp_path):
     incremental.each_batch(incremental.windowed_counts(stream, ["user"], "ts", "1 hour"), lambda df, _: seen.extend(df.collect()), str(tmp_path / "c2")).awaitTermination(120)
     assert sum(r.n for r in seen) == 3
     assert incremental.gap_sessions(source, ["user"], "ts", "1 hour", "value").count() == 2 and incremental.first_copies(source, "text", "ts").count() == 2
+
+
+def test_foldings(spark):
+    df = spark.createDataFrame([("ｆｕｌｌ  “ﬁ”",), ("plain",), (None,), ("a &amp;eacute; &amp;amp;lt;",), ("",)], "t string")
+    assert [r.x for r in df.select(folding.folded_comment(F.col("t")).alias("x")).collect()][:3] == ['full "fi"', "plain", None]
+    assert [r.x for r in df.select(folding.unescape(F.col("t")).alias("x")).collect()][3:] == ["a é <", ""]
+
+
+def test_options_by_alias(spark):
+    f = lambda c: F.array_join(C.options_by_alias(c, ["Work", "Family", "Other"], {"Family": ["kids"]}), "; ")
+    assert [one(spark, v, f) for v in ("my kids and work", "Other: none", "another", None)] == ["Work; Family", "Other", "", ""]
+
+
+def test_speaker_clusters(spark):
+    rows = [("f", i, [1.0, 0.01 * i] if i in (0, 1, 4) else [0.0, 1.0]) for i in range(6)] + [("g", 0, [0.0, 0.0])]
+    got = {(r.f, r.i): r.speaker for r in M.speaker_clusters(spark.createDataFrame(rows, "f string, i int, v array<double>"), "f", "i", "v").collect()}
+    assert [got["f", i] for i in range(6)] == ["Speaker 1", "Speaker 1", "Speaker 2", "Speaker 2", "Speaker 1", "Speaker 2"] and got["g", 0] == "Speaker 1"

@@ -100,6 +100,17 @@ def options_in_order(value: Column, options: Sequence[str]) -> Column:
     return F.transform(F.array_sort(F.filter(found, lambda s: s["at"] > 0)), lambda s: s["option"])
 
 
+def options_by_alias(value: Column, options: Sequence[str], aliases: Mapping[str, Sequence[str]] | None = None, other: str = "Other") -> Column:
+    """The options whose label or alias a cell contains, in codebook order; "Other" only where the cell starts with it."""
+    low = F.lower(value)
+    tests = []
+    for o in options:
+        words = [o.lower(), *(a.lower() for a in (aliases or {}).get(o, ()))]
+        hit = low.startswith(other.lower()) if o == other else F.array_contains(F.array(*(low.contains(w) for w in words)), True)
+        tests.append(F.when(hit, F.lit(o)))
+    return F.array_compact(F.array(*tests))
+
+
 def coerce_one(value: Column, vocabulary: Sequence[str], default: str) -> Column:
     """The vocabulary's own spelling, or the default."""
     known = F.create_map(*[F.lit(x) for v in vocabulary for x in (v.lower(), v)])

@@ -10,6 +10,7 @@ import re
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,6 +151,36 @@ def topic_clusters(df: DataFrame, key: str, vector: str, dimensions: int = 5, se
     return found.join(F.broadcast(sizes), "c").select(key, F.when(F.col("size") >= least, F.col("c")).otherwise(-1).alias("cluster"))  # one row per cluster, at most 50
 
 
+def speaker_clusters(df: DataFrame, file: str, segment: str, vector: str, speakers: int = 2, rounds: int = 20) -> DataFrame:
+    """``file, segment, speaker``: the segments of each recording in two (or more) clusters by cosine.
+
+    Starts from the segments farthest apart, so that the result is the same on every run; speakers are numbered by first
+    segment. A recording's segments (some thousand) are clustered by one task.
+    """
+    kinds = dict(df.dtypes)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(segment, kind="stable")
+        x = np.array(frame[vector].tolist(), float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        centres = [x[0]]
+        while len(centres) < min(speakers, len(x)):
+            centres.append(x[np.argmin(np.max(x @ np.array(centres).T, axis=1))])
+        c = np.array(centres)
+        own = np.zeros(len(x), int)
+        for _ in range(rounds):
+            own = np.argmax(x @ c.T, axis=1)
+            fresh = np.array([x[own == k].sum(0) if (own == k).any() else c[k] for k in range(len(c))])
+            fresh /= np.maximum(np.linalg.norm(fresh, axis=1, keepdims=True), 1e-12)
+            if np.allclose(fresh, c):
+                break
+            c = fresh
+        order = list(dict.fromkeys(own.tolist()))
+        return pd.DataFrame({file: key[0], segment: frame[segment].tolist(), "speaker": [f"Speaker {order.index(k) + 1}" for k in own]})
+
+    return df.select(file, segment, vector).groupBy(file).applyInPandas(run, f"{file} {kinds[file]}, {segment} {kinds[segment]}, speaker string")
+
+
 def translated(df: DataFrame, text: str, english: Column, cache: DataFrame, namespace: str = "en") -> DataFrame:
     """``translation``: the text itself if it is English, else the cached translation, else the text."""
     keyed = df.withColumn("cache_key", T.content_key(F.col(text), namespace)).join(cache.select("cache_key", F.col("reply").alias("tr")), "cache_key", "left")
