@@ -232,3 +232,11 @@ def test_speaker_clusters(spark):
     rows = [("f", i, [1.0, 0.01 * i] if i in (0, 1, 4) else [0.0, 1.0]) for i in range(6)] + [("g", 0, [0.0, 0.0])]
     got = {(r.f, r.i): r.speaker for r in M.speaker_clusters(spark.createDataFrame(rows, "f string, i int, v array<double>"), "f", "i", "v").collect()}
     assert [got["f", i] for i in range(6)] == ["Speaker 1", "Speaker 1", "Speaker 2", "Speaker 2", "Speaker 1", "Speaker 2"] and got["g", 0] == "Speaker 1"
+
+
+def test_numbers_of_a_hot_group(spark):
+    df = spark.range(20_000).selectExpr("id", "case when id % 3 > 0 then 'hot' when id % 2 = 0 then null else 'other' end as g", "(id * 7919) % 20011 as o")
+    got = W.numbered(df.repartition(6), ["g"], ["o"], "n")
+    want = df.selectExpr("id", "row_number() over (partition by g order by o) as m")
+    assert got.join(want, "id").filter("n = m").count() == 20_000 and got.columns == ["id", "g", "o", "n"]
+    assert W.numbered(df.limit(0), ["g"], ["o"], "n").count() == 0

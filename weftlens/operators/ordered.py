@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlens.runtime import cut_lineage, join_null_safe
+
 
 def minmax_scale(df: DataFrame, groups: Sequence[str], column: str, out: str, epsilon: float = 1e-9) -> DataFrame:
     """(x - min) / (max - min + epsilon) within groups. The bounds are aggregated and joined back: a group may be any size."""
     bounds = df.groupBy(*groups).agg(F.min(column).alias("mm_lo"), F.max(column).alias("mm_hi"))
-    joined = df.join(bounds, list(groups)) if groups else df.crossJoin(F.broadcast(bounds))
+    joined = join_null_safe(df, bounds, groups) if groups else df.crossJoin(F.broadcast(bounds))  # one row without groups
     return joined.withColumn(out, (F.col(column) - F.col("mm_lo")) / (F.col("mm_hi") - F.col("mm_lo") + epsilon)).drop("mm_lo", "mm_hi")
 
 
@@ -63,10 +65,30 @@ def forward_fill(df: DataFrame, file: str, order: str, label: str, out: str, def
     return df.withColumn(out, F.coalesce(F.last(label, ignorenulls=True).over(w), F.lit(default)))
 
 
+def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
+    """Numbers 1, 2, ... within groups, where a group may be larger than any task should hold.
+
+    Rows are dealt out by ranges of group and order, so that a large group lies in several partitions, and written down
+    (the ranges must stay the same afterwards); each part of a group is numbered on its own, and a small table of the
+    parts' sizes says where each part starts. ``order`` must decide every tie.
+    """
+    keys = {f"nb_key_{i}": F.col(g) for i, g in enumerate(groups)}
+    ranged = df.withColumns(keys).repartitionByRange(*keys, *order).withColumn("nb_part", F.spark_partition_id())
+    placed = cut_lineage(ranged)
+    parts = placed.groupBy(*keys, "nb_part").agg(F.count("*").alias("nb_size"))
+    before = F.sum("nb_size").over(Window.partitionBy(*keys).orderBy("nb_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(*(F.col(k).alias(f"{k}_s") for k in keys), F.col("nb_part").alias("nb_part_s"), F.coalesce(before, F.lit(0)).alias("nb_start"))
+    own = placed.withColumn("nb_own", F.row_number().over(Window.partitionBy(*keys, "nb_part").orderBy(*order)))
+    same = (F.col("nb_part") == F.col("nb_part_s"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_s"))
+    return own.join(starts, same).withColumn(out, F.col("nb_own") + F.col("nb_start")).select(*df.columns, out)
+
+
 def sequential_ids(df: DataFrame, group: str, order: Sequence[Column | str], prefix: Column, width: int, out: str, sep: str = "_") -> DataFrame:
-    """``ABC_001`` within groups."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn(out, F.concat(prefix, F.lit(sep), F.lpad(n.cast("string"), width, "0")))
+    """``ABC_001`` within groups of any size."""
+    n = numbered(df.withColumn("si_prefix", prefix), [group], order, "si_n")
+    return n.withColumn(out, F.concat("si_prefix", F.lit(sep), F.lpad(F.col("si_n").cast("string"), width, "0"))).drop("si_prefix", "si_n")
 
 
 def renumber(df: DataFrame, group: str, order: str, pinned: str, number: int, out: str) -> DataFrame:
@@ -92,13 +114,14 @@ def relabel_by_appearance(df: DataFrame, file: str, label: str, start: str, pref
 
 
 def pack(df: DataFrame, group: str, order: str, size: int, out: str = "batch") -> DataFrame:
-    """Batches of ``size`` rows within groups, numbered from 0."""
-    return df.withColumn(out, F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / size))
+    """Batches of ``size`` rows within groups of any size, numbered from 0."""
+    return numbered(df, [group], [order], "pk_n").withColumn(out, F.floor((F.col("pk_n") - 1) / size)).drop("pk_n")
 
 
 def rank_between(df: DataFrame, group: str, order: Sequence[Column | str], low: int, high: int) -> DataFrame:
-    """The rows ``low`` to ``high`` of each group."""
-    return df.withColumn("rb", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rb").between(low, high)).drop("rb")
+    """The rows ``low`` to ``high`` of each group; partitions keep only their own first ``high`` rows before the shuffle."""
+    return top_n(df, [group], [F.col(o) if isinstance(o, str) else o for o in order], high, "rb").filter(F.col("rb") >= low).drop("rb") if high <= 1000 else numbered(df, [group], order, "rb").filter(F.col("rb").between(low, high)).drop("rb")
+
 
 
 def chained_offsets(df: DataFrame, file: str, order: str, duration: str, out: str = "offset") -> DataFrame:

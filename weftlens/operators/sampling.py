@@ -12,6 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlens.operators.dedup import keep_first
+from weftlens.operators.ordered import numbered, top_n
+from weftlens.runtime import join_null_safe
+
 
 def hash_order(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(seed))
@@ -21,7 +25,7 @@ def _first_by_hash(df: DataFrame, groups: Sequence[str], id_col: str, n: Column,
     """``sample_rank`` 1..n by hash within groups; hot groups are thinned by the hash itself first."""
     keyed = df.withColumn("sample_hash", hash_order(id_col, seed))
     sizes = keyed.groupBy(*groups).agg(F.count("*").alias("sample_size"))
-    joined = keyed.join(sizes, list(groups)) if groups else keyed.crossJoin(F.broadcast(sizes))
+    joined = join_null_safe(keyed, sizes, groups) if groups else keyed.crossJoin(F.broadcast(sizes))  # one row without groups
     unit = (F.shiftrightunsigned("sample_hash", 11)).cast("double") / F.lit(float(1 << 53))
     room = (n + 8 * F.sqrt(n) + 40) / F.col("sample_size")
     thinned = joined.filter(unit <= room)
@@ -56,9 +60,10 @@ def orientation_sampling(df: DataFrame, orientation: str, verdict: str, text: st
 
 
 def assign_round_robin(df: DataFrame, strata: Sequence[str], id_col: str, coders: Sequence[str], seed: int = 42) -> DataFrame:
-    """Rows shuffled within a stratum and dealt to the coders in turn."""
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(hash_order(id_col, seed), id_col))
-    return df.withColumn("coder", F.element_at(F.array(*map(F.lit, coders)), (rank - 1) % len(coders) + 1))
+    """Rows shuffled within a stratum and dealt to the coders in turn; strata may be of any size."""
+    dealt = numbered(df.withColumn("rr_order", hash_order(id_col, seed)), strata, ["rr_order", id_col], "rr_n")
+    turn = ((F.col("rr_n") - 1) % len(coders) + 1).cast("int")
+    return dealt.withColumn("coder", F.element_at(F.array(*map(F.lit, coders)), turn)).drop("rr_order", "rr_n")
 
 
 def overlap_design(pool: DataFrame, id_col: str, coders: Sequence[str], shared: int = 5, ring: Sequence[int] = (3, 2, 3, 2, 3, 2), seed: int = 42) -> DataFrame:
@@ -79,9 +84,13 @@ def overlap_design(pool: DataFrame, id_col: str, coders: Sequence[str], shared:
 
 
 def select_diverse(df: DataFrame, theme: str, score: str, id_col: str, cap: int, target: int) -> DataFrame:
-    """By score with at most ``cap`` per theme, then filled up by score to ``target``."""
+    """By score with at most ``cap`` per theme, then filled up by score to ``target``.
+
+    Rows within their cap come from a top-n per theme. Where they are fewer than ``target``, the rest is among the
+    ``2 * target`` best rows of all, so that no theme is ever ranked whole.
+    """
     order = [F.col(score).desc_nulls_last(), F.col(id_col)]
-    capped = df.withColumn("sd_rank", F.row_number().over(Window.partitionBy(theme).orderBy(*order)))
-    first = F.col("sd_rank") <= cap
-    # a row within its cap comes before any beyond it; among each, by score
-    return capped.orderBy(F.when(first, 0).otherwise(1), *order).limit(target).drop("sd_rank")
+    within = top_n(df, [theme], order, cap, "sd_rank").drop("sd_rank").withColumn("sd_first", F.lit(1))
+    best = df.orderBy(*order).limit(2 * target).withColumn("sd_first", F.lit(0))
+    rows = keep_first(within.unionByName(best), [id_col], [F.desc("sd_first")])
+    return rows.orderBy(F.desc("sd_first"), *order).limit(target).drop("sd_first")

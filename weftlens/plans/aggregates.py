@@ -189,8 +189,7 @@ def agg_23_score_summary(spark, sf_dir):
 
 @R.query("select row_id, round((vote_count - min(vote_count) over w) / (max(vote_count) over w - min(vote_count) over w + 1e-9), 6) as scaled from filtered_v1_kept window w as (partition by source_file)")
 def win_01_minmax_scale(spark, sf_dir):
-    rows = _kept(spark, sf_dir, "source_file", "vote_count").withColumn("source_file", F.coalesce("source_file", F.lit("")))
-    return W.minmax_scale(rows, ["source_file"], "vote_count", "scaled").select("row_id", F.round("scaled", 6).alias("scaled"))
+    return W.minmax_scale(_kept(spark, sf_dir, "source_file", "vote_count"), ["source_file"], "vote_count", "scaled").select("row_id", F.round("scaled", 6).alias("scaled"))
 
 
 _CLEAN = _sq(_quotes("comment"))

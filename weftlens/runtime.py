@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Sequence
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,13 @@ def ship_package(spark: SparkSession) -> None:
     context._weftlens_shipped = True
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys meet null keys; the result has the left's keys once."""
+    renamed = right.withColumnsRenamed({k: f"{k}__r" for k in keys})
+    condition = reduce(lambda a, b: a & b, (left[k].eqNullSafe(renamed[f"{k}__r"]) for k in keys))
+    return left.join(renamed, condition, how).drop(*(f"{k}__r" for k in keys))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows for per-row Python work on all cores: an input of fewer partitions than there are cores (a small file, say) is
     dealt out; a large input, which has more of them, is left where it is, without a shuffle."""
