@@ -86,18 +86,20 @@ def modal_vote(df: DataFrame, keys: Sequence[str], value: str, order: str) -> Da
     return votes.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("votes")).alias("v"), "seen", value)).alias(value), F.max("votes").alias("votes"))
 
 
-def repeat_votes(df: DataFrame, key: str, label: str, order: str, iterations: int, default: str, share: float = 0.30, seconds: int = 2) -> DataFrame:
+def repeat_votes(df: DataFrame, key: str, label: str, order: str, iterations: int | None, default: str, share: float = 0.30, seconds: int = 2) -> DataFrame:
     """Repeat coding: ``modal, stability, secondary`` (other labels with at least ``share`` of the runs, first seen first)
-    and the distribution as ``votes_json``. A missing label votes for the default."""
+    and the distribution as ``votes_json``. A missing label votes for the default. Without ``iterations``, each key has
+    as many runs as rows."""
     votes = df.withColumn(label, F.coalesce(label, F.lit(default))).groupBy(key, label).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
     entry = F.struct((-F.col("n")).alias("v"), "seen", F.col(label).alias("label"))
-    all_votes = votes.groupBy(key).agg(F.min(entry).alias("top"), F.collect_list(F.struct("seen", F.col(label).alias("label"), "n")).alias("own"))
-    others = F.filter("own", lambda o: (o["label"] != F.col("top.label")) & (o["n"] >= share * iterations))
+    all_votes = votes.groupBy(key).agg(F.min(entry).alias("top"), F.collect_list(F.struct("seen", F.col(label).alias("label"), "n")).alias("own"), F.sum("n").alias("cast"))
+    runs = F.col("cast") if iterations is None else F.lit(iterations)
+    others = F.filter("own", lambda o: (o["label"] != F.col("top.label")) & (o["n"] >= share * runs))
     spread = F.map_from_entries(F.transform(F.array_sort(F.transform("own", lambda o: F.struct(o["label"].alias("label"), o["n"].alias("n")))), lambda o: F.struct(o["label"], o["n"])))
     return all_votes.select(
         key,
         F.col("top.label").alias("modal"),
-        F.round(-F.col("top.v") / F.lit(iterations), 3).alias("stability"),
+        F.round(-F.col("top.v") / runs, 3).alias("stability"),
         F.array_join(F.transform(F.slice(F.array_sort(others), 1, seconds), lambda o: o["label"]), "; ").alias("secondary"),
         F.to_json(spread).alias("votes_json"),
     )

@@ -117,6 +117,17 @@ def agg_14_repeat_votes(spark, sf_dir):
     return A.repeat_votes(rows, "user_id", "event_type", "event_id", 15, "none")
 
 
+@R.query("""with v as (select user_id, coalesce(case when event_id % 9 = 0 then null else event_type end, 'none') as label, count(*) n, min(event_id) seen from events group by 1, 2),
+m as (select user_id, arg_min(label, (-n, seen, label)) as modal, max(n) top, sum(n)::bigint runs from v group by 1),
+s as (select v.user_id, list(label order by seen, label) as others from v join m on v.user_id = m.user_id and v.label <> m.modal and v.n >= 0.3 * m.runs group by 1),
+j as (select user_id, '{' || string_agg('"' || label || '":' || n, ',' order by label) || '}' as votes_json from v group by 1)
+select m.user_id, modal, round(top / runs, 3) as stability, coalesce(array_to_string(others[1:2], '; '), '') as secondary, votes_json from m join j using (user_id) left join s using (user_id)""")
+def agg_14_repeat_votes_whole(spark, sf_dir):
+    """Over all events: a user's runs are their own events, so that no id or count bounds them."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 9 != 0, F.col("event_type")).alias("event_type"))
+    return A.repeat_votes(rows, "user_id", "event_type", "event_id", None, "none")
+
+
 @R.query("select event_id, case when s > 0 and s <= 0.5 then '<=0.50' when s > 0.5 and s <= 0.7 then '0.50-0.70' when s > 0.7 and s <= 0.85 then '0.70-0.85' when s > 0.85 and s <= 1.001 then '>0.85' end as bucket from (select event_id, (event_id % 23) / 20.0::double as s from events)")
 def agg_15_stability_buckets(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", A.stability_bucket((F.col("event_id") % 23) / 20.0).alias("bucket"))
