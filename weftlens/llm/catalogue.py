@@ -12,7 +12,7 @@ from weftlens.llm.abuse import AbuseModel, abuse_categories, abuse_scores, fit_a
 from weftlens.llm.language import LanguageModel, fit_languages, label_language, label_names, language_stretches
 from weftlens.llm.mixing import exact_total, mix_documents, mix_report, water_fill
 from weftlens.llm.personal import personal_spans
-from weftlens.llm.reading import rate_documents
+from weftlens.llm.reading import rate_all_documents, rate_documents
 from weftlens.llm.seeds import seed_phrases
 from weftlens.llm.tokens import TOKENIZER_DIR, token_counts, token_ids
 from weftlens.llm.visual import canonical_text, look_alike_pairs, look_keys
@@ -178,20 +178,23 @@ def p8_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mix, shares)
 
 
-def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = _samples(spark, sf_dir, "reading_label", "sample_text", "reading_level")
-    return rate_documents(table(spark, sf_dir, "documents"), "doc_id", "text", judged, _languages(spark, sf_dir))
+def _judged(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    return _samples(spark, sf_dir, "reading_label", "sample_text", "reading_level")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every English document of at least 60 tokens."""
-    return _levels(spark, sf_dir).select("doc_id", "reading_level")
+    rated = rate_documents(table(spark, sf_dir, "documents"), "doc_id", "text", _judged(spark, sf_dir), _languages(spark, sf_dir))
+    return rated.select("doc_id", "reading_level")
 
 
 def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents per source and level, with the mean place on the scale."""
-    levels = _levels(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return levels.groupBy("source", "reading_level").agg(F.count("*").alias("docs"), F.round(F.avg("reading_scale"), 3).alias("mean_scale"))
+    """All documents per source, level and whether they are wholly English, with the mean place on the scale; level and
+    language are null for documents without words."""
+    documents = table(spark, sf_dir, "documents")
+    levels = rate_all_documents(documents, "doc_id", "text", _judged(spark, sf_dir), _languages(spark, sf_dir))
+    rows = documents.select("doc_id", "source").join(levels, "doc_id", "left")
+    return rows.groupBy("source", "english", "reading_level").agg(F.count("*").alias("docs"), F.round(F.avg("reading_scale"), 3).alias("mean_scale"))
 
 
 _QUERIES = (p1_found, p1_segments, p1_documents, p3_found, p3_canonical, p4_found, p4_scores, p4_rates, p6_found, p6_redacted, p7_ids, p8_mix, p8_shares, p8_exact_shares, p9_found, p9_profile)

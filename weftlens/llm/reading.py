@@ -11,8 +11,10 @@ into a fixed number of slots, so that both tables have a fixed size whatever the
 part with the level they were given in the round before, which carries the scale to words no judged document holds.
 The level handed out is the scale cut at two points, those that part the judged documents best.
 
-Defined cases: null, empty and blank documents have no level; a document of fewer than ``least_tokens`` tokens, or not
-wholly in English, is not rated by the corpus query; a text without a known word has the middle of the scale.
+Defined cases: null, empty and blank documents, and those without a word, have no level; a text without a known word has
+the middle of the scale. Difficulties are fitted on documents wholly in English of at least ``least_tokens`` tokens, and
+``rate_documents`` rates these; ``rate_all_documents`` rates every document with words and says of each whether it is
+wholly English and how many tokens it has. Other languages are put on the English scale, which isn't theirs.
 """
 
 from __future__ import annotations
@@ -119,8 +121,8 @@ def place_cuts(scale: np.ndarray, judged: np.ndarray) -> tuple[float, float]:
     return cuts[0], max(cuts)
 
 
-def english_words(df: DataFrame, id_col: str, text_col: str, languages: LanguageModel, least_tokens: int = 60) -> DataFrame:
-    """``doc_id, slots`` of the documents wholly in English that have at least ``least_tokens`` tokens between white space."""
+def document_words(df: DataFrame, id_col: str, text_col: str, languages: LanguageModel, least_tokens: int = 1, only_english: bool = False) -> DataFrame:
+    """``doc_id, slots, english, tokens`` of the documents with words and at least ``least_tokens`` tokens between white space."""
     spark = df.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(languages)
@@ -129,12 +131,19 @@ def english_words(df: DataFrame, id_col: str, text_col: str, languages: Language
         model = shared.value
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            kept = [(i, bare_text(t)) for i, t in zip(ids, texts) if t and len(t.split()) >= least_tokens]
-            found = segment_batch(model, [t for _, t in kept])
-            rows = [(i, word_slots(t)) for (i, t), stretches in zip(kept, found) if stretches and all(s[0] == "en" or s[2] < 3 for s in stretches) and any(s[0] == "en" for s in stretches)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "slots"])
+            kept = [(i, bare_text(t), n) for i, t in zip(ids, texts) if t and (n := len(t.split())) >= least_tokens]
+            found = segment_batch(model, [t for _, t, _ in kept])
+            english = [bool(s) and all(x[0] == "en" or x[2] < 3 for x in s) and any(x[0] == "en" for x in s) for s in found]
+            rows = [(i, slots, e, n) for (i, t, n), e in zip(kept, english) if (e or not only_english) and (slots := word_slots(t))]
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "slots", "english", "tokens"])
+
+    return spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).filter("t is not null")).mapInArrow(run, "doc_id long, slots array<int>, english boolean, tokens int")
 
-    return spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).filter("t is not null")).mapInArrow(run, "doc_id long, slots array<int>")
+
+def english_words(df: DataFrame, id_col: str, text_col: str, languages: LanguageModel, least_tokens: int = 60) -> DataFrame:
+    """``doc_id, slots`` of the documents wholly in English that have at least ``least_tokens`` tokens between white space."""
+    return document_words(df, id_col, text_col, languages, least_tokens, only_english=True).select("doc_id", "slots")
 
 
 def fit_reading(judged: Sequence[tuple[str, int]], corpus: DataFrame | None = None, rounds: int = 2, label_weight: float = 20.0, most_samples: int = 20_000) -> ReadingModel:
@@ -177,20 +186,32 @@ def _corpus_counts(corpus: DataFrame, model: ReadingModel) -> np.ndarray:
 
 
 def reading_levels(corpus: DataFrame, model: ReadingModel) -> DataFrame:
-    """``doc_id, reading_scale, reading_level`` of the rows of ``english_words``."""
+    """``doc_id, reading_scale, reading_level`` of rows of ``doc_id, slots``, and their further columns."""
     shared = corpus.sparkSession.sparkContext.broadcast(model)
+    further = [c for c in corpus.columns if c not in ("doc_id", "slots")]
+    kinds = dict(corpus.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             if batch.num_rows:
                 scale = own.scale(*_totals(own, batch.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scale), pa.array(own.levels(scale), pa.int32())], names=["doc_id", "reading_scale", "reading_level"])
+                columns = [batch.column(0), pa.array(scale), pa.array(own.levels(scale), pa.int32()), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "reading_scale", "reading_level", *further])
 
-    return corpus.select("doc_id", "slots").mapInArrow(run, "doc_id long, reading_scale double, reading_level int")
+    return corpus.select("doc_id", "slots", *further).mapInArrow(run, ", ".join(["doc_id long, reading_scale double, reading_level int", *(f"{c} {kinds[c]}" for c in further)]))
 
 
 def rate_documents(df: DataFrame, id_col: str, text_col: str, judged: Sequence[tuple[str, int]], languages: LanguageModel, least_tokens: int = 60) -> DataFrame:
-    """The whole operator: English documents, fit in turns with the judged ones, levels."""
+    """English documents of at least ``least_tokens`` tokens: fit in turns with the judged ones, levels."""
     corpus = cut_lineage(english_words(df, id_col, text_col, languages, least_tokens))
     return reading_levels(corpus, fit_reading(judged, corpus))
+
+
+def rate_all_documents(df: DataFrame, id_col: str, text_col: str, judged: Sequence[tuple[str, int]], languages: LanguageModel, least_tokens: int = 60) -> DataFrame:
+    """The whole operator: ``doc_id, reading_scale, reading_level, english, tokens`` of every document with words.
+
+    The fit is that of ``rate_documents``, so that both give a document the same level.
+    """
+    words = cut_lineage(document_words(df, id_col, text_col, languages))
+    return reading_levels(words, fit_reading(judged, words.filter(F.col("english") & (F.col("tokens") >= least_tokens))))
