@@ -25,3 +25,24 @@ def test_runs_of_each_key(spark):
     rows = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", None, 1)], "k string, label string, i long")
     got = {r.k: (r.modal, r.stability, r.secondary) for r in A.repeat_votes(rows, "k", "label", "i", None, "none").collect()}
     assert got == {"a": ("x", 0.667, "y"), "b": ("none", 1.0, "")}
+
+
+def transcripts(spark, tmp_path, *texts):
+    rows = [(i, t, "transcript") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, content_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_every_turn_is_probed(spark, tmp_path):
+    long = "we spoke about the school fees and about the uncle who paid them for many years"
+    sf_dir = transcripts(spark, tmp_path, f"Host: {long} until he left\nGuest: yes\nHost: {long[:50]}\nGuest: \nHost: {long} and more")
+    got = {r.item: (r.probe, r.turn) for r in run(spark, sf_dir, "jon_10_probe_join_whole").collect()}
+    assert got == {"0-1": (80, 1), "0-2": (80, 2), "0-3": (80, 1), "0-5": (80, 1)}
+
+
+def test_second_probe_and_empty_items(spark):
+    items = spark.createDataFrame([("a", 1, "x" * 40 + "y" * 40), ("b", 1, " "), ("c", 1, None)], "item string, f int, t string")
+    turns = spark.createDataFrame([(1, 1, "nothing"), (1, 2, "x" * 40 + "z")], "file int, turn int, text string")
+    from weftlens.operators.joins import probe_join
+
+    assert [tuple(r) for r in probe_join(items, turns, "t", "file", "turn", "text", "item", "f").collect()] == [("a", 40, 2)]

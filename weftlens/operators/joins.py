@@ -97,9 +97,9 @@ def _blocks(c: Column, n: int) -> Column:
 def probe_join(items: DataFrame, turns: DataFrame, item_text: str, turn_file: str, turn_order: str, turn_text: str, item_key: str, item_file: str, sizes: Sequence[int] = (80, 40)) -> DataFrame:
     """Where each item stands in its file: the first turn that contains its first 80 characters, else its first 40.
 
-    ``item_key, probe, turn``; items and turns meet by file, never all with all.
+    ``item_key, probe, turn``; items and turns meet by file, never all with all. An item without text stands nowhere.
     """
-    probes = items.select(F.col(item_key), F.col(item_file).alias("pj_file"), T.join_key(F.col(item_text)).alias("pj_text"))
+    probes = items.select(F.col(item_key), F.col(item_file).alias("pj_file"), T.join_key(F.col(item_text)).alias("pj_text")).filter("pj_text <> ''")
     found = probes.join(turns.select(F.col(turn_file).alias("pj_file"), F.col(turn_order).alias("turn"), T.join_key(F.col(turn_text)).alias("pj_turn")), "pj_file")
     tier = F.lit(None).cast("int")
     for i, n in reversed(list(enumerate(sizes))):

@@ -107,6 +107,16 @@ def jon_10_probe_join(spark, sf_dir):
     return J.probe_join(items, t, "probe_text", "file", "turn", "text", "item", "file")
 
 
+@R.query(f"""with {_TURNS}, k as (select file, turn, {_jk('text')} as t from turns),
+m as (select i.file, i.turn as item, t.turn, case when contains(t.t, substring(i.t, 1, 80)) then 1 when contains(t.t, substring(i.t, 1, 40)) then 2 end as tier from k i join k t using (file) where i.t <> '')
+select file || '-' || item as item, case when min(tier) = 1 then 80 else 40 end as probe, arg_min(turn, (tier, turn)) as turn from m where tier is not null group by file, item""")
+def jon_10_probe_join_whole(spark, sf_dir):
+    """Every turn with its whole text; the operator takes the probes of 80 and 40 characters."""
+    t = _turns(spark, sf_dir)
+    items = t.select(F.concat(F.col("file").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("item"), "file", F.col("text").alias("probe_text"))
+    return J.probe_join(items, t, "probe_text", "file", "turn", "text", "item", "file")
+
+
 @R.query("select event_id, '[' || printf('%02d:%02d:%02d.%03d', round(value * 1000)::bigint // 3600000, round(value * 1000)::bigint // 60000 % 60, round(value * 1000)::bigint // 1000 % 60, round(value * 1000)::bigint % 1000) || ' --> ' || printf('%02d:%02d:%02d.%03d', round(value * 2000)::bigint // 3600000, round(value * 2000)::bigint // 60000 % 60, round(value * 2000)::bigint // 1000 % 60, round(value * 2000)::bigint % 1000) || '] ' || event_type as line from events")
 def snk_08_segment_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("double", F.col("value") * 2)
