@@ -46,3 +46,21 @@ def test_second_probe_and_empty_items(spark):
     from weftlens.operators.joins import probe_join
 
     assert [tuple(r) for r in probe_join(items, turns, "t", "file", "turn", "text", "item", "f").collect()] == [("a", 40, 2)]
+
+
+def test_every_flag_has_a_place(spark, tmp_path):
+    kinds = ["known-value normalization", "missing value", "filled missing other specify", None]
+    rows = [(i, kinds[i % 4], None if i % 5 == 0 else f"c{i % 3}") for i in range(200)]
+    spark.createDataFrame(rows, "flag_id long, flag_type string, coder string").write.parquet(str(tmp_path / "human_kenya_final_validation_flags.parquet"))
+    got = sorted((r.position, r.flag_id, r.lv) for r in run(spark, str(tmp_path), "win_11_by_severity_whole").collect())
+    at = {"missing value": 0, "filled missing other specify": 1}
+    want = sorted(rows, key=lambda r: (at.get(r[1], 2), r[2] is None, r[2] or "", r[0]))
+    assert [(p, i) for p, i, _ in got] == [(n, r[0]) for n, r in enumerate(want, 1)]
+    assert [lv for _, _, lv in got] == ["HIGH"] * 50 + ["MED"] * 50 + ["LOW"] * 100
+
+
+def test_unknown_levels_come_last(spark):
+    from weftlens.operators.ordered import place_by_severity
+
+    rows = spark.createDataFrame([(1, None), (2, "LOW"), (3, "odd"), (4, "HIGH")], "i int, lv string")
+    assert sorted((r.place, r.i) for r in place_by_severity(rows, "lv", ["HIGH", "LOW"], "place", "i").collect()) == [(1, 4), (2, 2), (3, 1), (4, 3)]

@@ -98,12 +98,21 @@ def renumber(df: DataFrame, group: str, order: str, pinned: str, number: int, ou
     return df.withColumn(out, F.when(F.col(pinned), F.lit(number)).otherwise(n + ((n >= number) & (has_pin == 1)).cast("int")))
 
 
-def by_severity(df: DataFrame, severity: str, levels: Sequence[str], *keys: str) -> DataFrame:
-    """Most severe first, then by keys; unknown levels last."""
+def _severity_order(severity: str, levels: Sequence[str], keys: Sequence[str]) -> list[Column]:
     at = F.lit(len(levels))
     for i, level in reversed(list(enumerate(levels))):
         at = F.when(F.col(severity) == level, F.lit(i)).otherwise(at)
-    return df.orderBy(at, *(F.col(k).asc_nulls_last() for k in keys))
+    return [at.asc(), *(F.col(k).asc_nulls_last() for k in keys)]
+
+
+def by_severity(df: DataFrame, severity: str, levels: Sequence[str], *keys: str) -> DataFrame:
+    """Most severe first, then by keys; unknown levels last."""
+    return df.orderBy(*_severity_order(severity, levels, keys))
+
+
+def place_by_severity(df: DataFrame, severity: str, levels: Sequence[str], out: str, *keys: str) -> DataFrame:
+    """The place of every row in that order, from 1; ``keys`` must decide every tie."""
+    return numbered(df, [], _severity_order(severity, levels, keys), out)
 
 
 def relabel_by_appearance(df: DataFrame, file: str, label: str, start: str, prefix: str, out: str) -> DataFrame:

@@ -291,6 +291,13 @@ def win_11_by_severity(spark, sf_dir):
     return W.by_severity(table(spark, sf_dir, FLAGS).select("flag_id", "coder", F.expr(_LEVEL).alias("lv")), "lv", ["HIGH", "MED", "LOW"], "coder", "flag_id").limit(50).select("flag_id", "lv")
 
 
+@R.query(f"select flag_id, {_LEVEL} as lv, row_number() over (order by case when flag_type = 'missing value' then 0 when flag_type like 'filled%' then 1 else 2 end, coder, flag_id) as position from human_kenya_final_validation_flags")
+def win_11_by_severity_whole(spark, sf_dir):
+    """Every flag with its place in the order."""
+    flags = table(spark, sf_dir, FLAGS).select("flag_id", "coder", F.expr(_LEVEL).alias("lv"))
+    return W.place_by_severity(flags, "lv", ["HIGH", "MED", "LOW"], "position", "coder", "flag_id").select("flag_id", "lv", "position")
+
+
 @R.query("with f as (select user_id, event_type, min(ts) m from events group by 1, 2), r as (select user_id, event_type, 'Speaker ' || row_number() over (partition by user_id order by m, event_type) as speaker from f) select event_id, speaker from events join r using (user_id, event_type)")
 def win_12_relabel(spark, sf_dir):
     return W.relabel_by_appearance(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "Speaker ", "speaker").select("event_id", "speaker")
