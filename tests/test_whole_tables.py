@@ -64,3 +64,10 @@ def test_unknown_levels_come_last(spark):
 
     rows = spark.createDataFrame([(1, None), (2, "LOW"), (3, "odd"), (4, "HIGH")], "i int, lv string")
     assert sorted((r.place, r.i) for r in place_by_severity(rows, "lv", ["HIGH", "LOW"], "place", "i").collect()) == [(1, 4), (2, 2), (3, 1), (4, 3)]
+
+
+def test_every_chunk_is_a_row(spark, tmp_path):
+    words = [f"w{i}" for i in range(45)]
+    sf_dir = transcripts(spark, tmp_path, f"Host: {' '.join(words)}\nGuest: yes")
+    got = sorted((r.turn, r.chunk, r.text) for r in run(spark, sf_dir, "mdl_20_word_chunk_rows").collect())
+    assert got == [(1, 1, " ".join(words[:20])), (1, 2, " ".join(words[20:40])), (1, 3, " ".join(words[40:])), (2, 1, "yes")]

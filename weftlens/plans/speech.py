@@ -68,6 +68,15 @@ def mdl_20_word_chunks(spark, sf_dir):
     return _turns(spark, sf_dir).select("file", "turn", chunks.alias("c")).filter(F.size("c") > 0).select("file", "turn", F.size("c").cast("long").alias("chunks"), F.get("c", F.lit(0)).alias("first_chunk"))
 
 
+@R.query(f"""with {_TURNS}, c as (select file, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from turns),
+n as (select file, turn, w, unnest(range(ceil(len(w) / 20.0)::bigint)) as i from c)
+select file, turn, i + 1 as chunk, array_to_string(w[i * 20 + 1:i * 20 + 20], ' ') as text from n""")
+def mdl_20_word_chunk_rows(spark, sf_dir):
+    """One row per chunk, numbered from 1 in each turn."""
+    chunks = _turns(spark, sf_dir).select("file", "turn", F.posexplode(X.word_chunks(F.col("text"), 20)).alias("i", "text"))
+    return chunks.select("file", "turn", (F.col("i") + 1).cast("long").alias("chunk"), "text")
+
+
 @R.query()
 def mdl_20_sentence_chunks(spark, sf_dir):
     return X.sentence_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
