@@ -71,3 +71,14 @@ def test_every_chunk_is_a_row(spark, tmp_path):
     sf_dir = transcripts(spark, tmp_path, f"Host: {' '.join(words)}\nGuest: yes")
     got = sorted((r.turn, r.chunk, r.text) for r in run(spark, sf_dir, "mdl_20_word_chunk_rows").collect())
     assert got == [(1, 1, " ".join(words[:20])), (1, 2, " ".join(words[20:40])), (1, 3, " ".join(words[40:])), (2, 1, "yes")]
+
+
+def test_more_than_fifty_themes(spark):
+    from itertools import product
+
+    from weftlens.operators.model import topic_clusters
+
+    centres = list(product((0.0, 10.0, 21.0, 33.0), repeat=3))[:60]
+    rows = [(i, [x + 0.01 * ((i * p) % 11) for x, p in zip(centres[i % 60], (3, 5, 7))]) for i in range(4800)]
+    got = topic_clusters(spark.createDataFrame(rows, "i long, v array<double>"), "i", "v", dimensions=3).filter("cluster >= 0")
+    assert got.select("cluster").distinct().count() > 50

@@ -133,8 +133,8 @@ def composite(parts: Sequence[tuple[Column, float]]) -> Column:
 
 
 def topic_clusters(df: DataFrame, key: str, vector: str, dimensions: int = 5, seed: int = 42, least_rows: int = 10) -> DataFrame:
-    """``key, cluster``: vectors reduced by PCA and split by bisecting k-means with about sqrt(n)/2 clusters of at least
-    max(5, sqrt(n)/2) rows; smaller clusters and tiny tables are noise (-1)."""
+    """``key, cluster``: vectors reduced by PCA and split by bisecting k-means with n / (2 least) clusters (about sqrt(n) of
+    a large table) of at least least = max(5, sqrt(n)/2) rows; smaller clusters and tiny tables are noise (-1)."""
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
@@ -146,9 +146,9 @@ def topic_clusters(df: DataFrame, key: str, vector: str, dimensions: int = 5, se
     width = len(df.select(vector).first()[0])
     small = PCA(k=min(dimensions, width), inputCol="v", outputCol="p").fit(rows).transform(rows)
     least = max(5, int(n**0.5 / 2))
-    found = BisectingKMeans(k=max(2, min(50, n // (2 * least))), seed=seed, featuresCol="p", predictionCol="c", minDivisibleClusterSize=float(2 * least)).fit(small).transform(small)
+    found = BisectingKMeans(k=max(2, n // (2 * least)), seed=seed, featuresCol="p", predictionCol="c", minDivisibleClusterSize=float(2 * least)).fit(small).transform(small)
     sizes = found.groupBy("c").agg(F.count("*").alias("size"))
-    return found.join(F.broadcast(sizes), "c").select(key, F.when(F.col("size") >= least, F.col("c")).otherwise(-1).alias("cluster"))  # one row per cluster, at most 50
+    return found.join(F.broadcast(sizes), "c").select(key, F.when(F.col("size") >= least, F.col("c")).otherwise(-1).alias("cluster"))  # one row per cluster, about sqrt(n)
 
 
 def speaker_clusters(df: DataFrame, file: str, segment: str, vector: str, speakers: int = 2, rounds: int = 20) -> DataFrame:
