@@ -2,11 +2,10 @@
 
 import json
 
-from pyspark.sql import functions as F
+import duckdb
 
 from weftlens.operators import aggregate as A
 from weftlens.plans import catalogue
-from weftlens.runtime import table
 
 
 def run(spark, sf_dir, name):
@@ -82,3 +81,14 @@ def test_more_than_fifty_themes(spark):
     rows = [(i, [x + 0.01 * ((i * p) % 11) for x, p in zip(centres[i % 60], (3, 5, 7))]) for i in range(4800)]
     got = topic_clusters(spark.createDataFrame(rows, "i long, v array<double>"), "i", "v", dimensions=3).filter("cluster >= 0")
     assert got.select("cluster").distinct().count() > 50
+
+
+def test_any_line_end(spark, tmp_path):
+    sf_dir = transcripts(spark, tmp_path, "Host: one\r\nand two\r\nGuest: three\r\n", "Host: four\rGuest: five", "Host: six\nGuest: seven", None)
+    got = sorted((r.file, r.turn, r.speaker, r.text) for r in run(spark, sf_dir, "src_16_turns").collect())
+    assert got == [(0, 1, "Host", "one and two"), (0, 2, "Guest", "three"), (1, 1, "Host", "four"), (1, 2, "Guest", "five"), (2, 1, "Host", "six"), (2, 2, "Guest", "seven")]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet/*.parquet')")
+    for name in ("jon_10_probe_join_whole", "mdl_20_word_chunk_rows"):
+        df = run(spark, sf_dir, name)
+        assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {', '.join(df.columns)} from ({catalogue.oracle_sql()[name]})").fetchall())

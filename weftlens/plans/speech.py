@@ -20,10 +20,12 @@ numbered as (select *, sum(opens::int) over (partition by file order by pos) as
 turns as (select file, turn, max(case when opens then regexp_extract(line, '^(?:\[[^\]]*\] )?([A-Za-z0-9_][A-Za-z0-9_ .''-]{0,30}): (.*)$', 1) end) as speaker,
   string_agg(case when opens then regexp_extract(line, '^(?:\[[^\]]*\] )?([A-Za-z0-9_][A-Za-z0-9_ .''-]{0,30}): (.*)$', 2) else trim(line, ' ') end, ' ' order by pos) as text from numbered where turn > 0 group by 1, 2)
 """
+# The same for whatever line ends a text has, as text_lines reads them.
+_ALL_TURNS = _TURNS.replace(" and not contains(text, chr(13))", "").replace("string_split(text, e'\\n')", r"string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))")
 
 
 def _turns(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("content_type = 'transcript' and not contains(text, '\r')")
+    docs = table(spark, sf_dir, "documents").filter("content_type = 'transcript'")
     return S.turns(S.text_lines(docs, "doc_id", "text"))
 
 
@@ -68,7 +70,7 @@ def mdl_20_word_chunks(spark, sf_dir):
     return _turns(spark, sf_dir).select("file", "turn", chunks.alias("c")).filter(F.size("c") > 0).select("file", "turn", F.size("c").cast("long").alias("chunks"), F.get("c", F.lit(0)).alias("first_chunk"))
 
 
-@R.query(f"""with {_TURNS}, c as (select file, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from turns),
+@R.query(f"""with {_ALL_TURNS}, c as (select file, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from turns),
 n as (select file, turn, w, unnest(range(ceil(len(w) / 20.0)::bigint)) as i from c)
 select file, turn, i + 1 as chunk, array_to_string(w[i * 20 + 1:i * 20 + 20], ' ') as text from n""")
 def mdl_20_word_chunk_rows(spark, sf_dir):
@@ -116,7 +118,7 @@ def jon_10_probe_join(spark, sf_dir):
     return J.probe_join(items, t, "probe_text", "file", "turn", "text", "item", "file")
 
 
-@R.query(f"""with {_TURNS}, k as (select file, turn, {_jk('text')} as t from turns),
+@R.query(f"""with {_ALL_TURNS}, k as (select file, turn, {_jk('text')} as t from turns),
 m as (select i.file, i.turn as item, t.turn, case when contains(t.t, substring(i.t, 1, 80)) then 1 when contains(t.t, substring(i.t, 1, 40)) then 2 end as tier from k i join k t using (file) where i.t <> '')
 select file || '-' || item as item, case when min(tier) = 1 then 80 else 40 end as probe, arg_min(turn, (tier, turn)) as turn from m where tier is not null group by file, item""")
 def jon_10_probe_join_whole(spark, sf_dir):
