@@ -92,3 +92,14 @@ def test_any_line_end(spark, tmp_path):
     for name in ("jon_10_probe_join_whole", "mdl_20_word_chunk_rows"):
         df = run(spark, sf_dir, name)
         assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {', '.join(df.columns)} from ({catalogue.oracle_sql()[name]})").fetchall())
+
+
+def test_orphan_other(spark):
+    from weftlens.operators.quality import recoding_report
+
+    book = [("Q1", ["Red", "Other"], True, False, None, None), ("Q1b", [], False, False, "Q1", None), ("Q2", ["Yes"], False, False, None, None), ("Q2b", [], False, False, "Q2", None), ("Q3", ["Other"], False, False, None, None), ("Q3b", None, False, False, "Q3", None)]
+    rows = [("i1", "Q1", "Red; other"), ("i1", "Q1b", "pink"), ("i2", "Q1", "Other"), ("i2", "Q1b", " "), ("i3", "Q1", "Other"), ("i4", "Q1", "Red"), ("i4", "Q1b", "pink"), ("i5", "Q2", "Yes"), ("i5", "Q2b", "why"), ("i6", "Q3", "Other"), ("i6", "Q3b", "x"), ("i7", "Q3b", "x")]
+    answers = spark.createDataFrame([(i, "a", q, v) for i, q, v in rows], "item string, coder string, question string, answer string")
+    book = spark.createDataFrame(book, "question string, options array<string>, multi boolean, required boolean, parent string, gate string")
+    got = [(r.check, r.severity, r.item, r.question) for r in recoding_report(answers, book, "item", "coder", "question", "answer", ";").collect() if r.check.startswith("4 ")]
+    assert got == [("4 other without text", "LOW", "i2", "Q1"), ("4 other without text", "LOW", "i3", "Q1"), ("4 text without other", "LOW", "i4", "Q1b"), ("4 text without other", "LOW", "i7", "Q3b")]

@@ -30,8 +30,9 @@ def violations(df: DataFrame, key: str, rules: Sequence[tuple[str, str, Column]]
 def recoding_report(answers: DataFrame, codebook: DataFrame, item: str, coder: str, question: str, answer: str, sep: str, anchors: int = 6, blanks: int = 3) -> DataFrame:
     """Issues of coded answers against a codebook with ``question, options (array), multi, required, parent, gate``.
 
-    Passes: values outside the list (single HIGH, parts of multi MED), required blanks HIGH, free text without its
-    "Other" LOW, one item twice by one coder HIGH, items of all coders with many blanks HIGH, "none" beside others HIGH,
+    Passes: values outside the list (single HIGH, parts of multi MED), required blanks HIGH, "Other" without its free
+    text and free text without its "Other" LOW (a question without options is the free text of a parent that lists
+    "Other"), one item twice by one coder HIGH, items of all coders with many blanks HIGH, "none" beside others HIGH,
     answers whose gate is closed MED, open gates without answers MED, cosmetic differences LOW. Sorted by severity,
     coder, item, pass.
     """
@@ -62,8 +63,15 @@ def recoding_report(answers: DataFrame, codebook: DataFrame, item: str, coder: s
     per_item = answers.groupBy(item).agg(F.count_distinct(coder).alias("coders"))
     empty = answers.filter(F.trim(F.coalesce(answer, F.lit(""))) == "").groupBy(coder, item).agg(F.count("*").alias("n"), F.min(question).alias(question)).filter(F.col("n") >= blanks)
     anchor = empty.join(per_item.filter(F.col("coders") >= anchors), item).select(F.lit("6 anchor with blanks").alias("check"), F.lit("HIGH").alias("severity"), coder, item, question)
+    lists_other = codebook.filter(F.array_contains(low(F.col("options")), "other")).select(F.col(question).alias("parent"))
+    pairs = codebook.filter(F.coalesce(F.size("options"), F.lit(0)) == 0).select(F.col(question).alias("child"), "parent").join(lists_other, "parent")
+    told = answers.select(item, coder, F.col(question).alias("asked"), F.trim(F.coalesce(answer, F.lit(""))).alias("told"))
+    others = told.filter(F.array_contains(low(F.split("told", sep)), "other")).join(pairs, F.col("asked") == F.col("parent")).select(item, coder, "parent", "child").distinct()
+    texts = told.filter("told <> ''").join(pairs, F.col("asked") == F.col("child")).select(item, coder, "parent", "child").distinct()
+    orphan = lambda a, b, name, at: a.join(b, [item, coder, "parent", "child"], "left_anti").select(F.lit(name).alias("check"), F.lit("LOW").alias("severity"), coder, item, F.col(at).alias(question))
+    orphans = orphan(others, texts, "4 other without text", "parent").unionByName(orphan(texts, others, "4 text without other", "child"))
     at = F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MED", 1).otherwise(2)
-    return issues.unionByName(twice).unionByName(anchor).orderBy(at, coder, item, "check")
+    return issues.unionByName(twice).unionByName(anchor).unionByName(orphans).orderBy(at, coder, item, "check")
 
 
 def assignment_checks(assigned: DataFrame, item: str, coder: str, group: str, coders: int, expected: Mapping[str, int]) -> DataFrame:
