@@ -33,6 +33,34 @@ def test_against_definition(texts):
     assert V.glyph_tables().canonical(texts) == [plain(t) for t in texts]
 
 
+def test_neighbours_in_a_batch_play_no_part():
+    pieces = ["👨", "\u200d👨", "👨\u200d", "👨\ufe0f", "\ufe0f\u200d👩", "x", "\u0301", "e", "\u1161", "\u1100", "\u200d", "👩"]
+    alone = {t: V.glyph_tables().canonical([t])[0] for t in pieces}
+    for a in pieces:
+        for b in pieces:
+            assert V.glyph_tables().canonical([a, b]) == [alone[a], alone[b]], (a, b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(LETTERS, max_size=12), max_size=6))
+def test_one_by_one(texts):
+    assert V.glyph_tables().canonical(texts) == [V.glyph_tables().canonical([t])[0] for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(LETTERS, max_size=12), max_size=4))
+def test_places(texts):
+    forms, places = V.glyph_tables().canonical_with_places(texts)
+    for i, (text, form) in enumerate(zip(texts, forms)):
+        if i not in places:
+            assert form == text
+            continue
+        begin, behind = places[i]
+        assert len(begin) == len(behind) == len(form)
+        for letter, b, e in zip(form, begin, behind):  # a character comes from what its places hold
+            assert 0 <= b < e <= len(text) and letter in V.glyph_tables().canonical([text[b:e]])[0] + text[b:e]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(LETTERS, max_size=20))
 def test_idempotent(text):

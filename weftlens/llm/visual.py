@@ -125,7 +125,10 @@ class GlyphTables:
         return self.canonical_with_places(texts)[0]
 
     def canonical_with_places(self, texts: Sequence[str | None]) -> tuple[list[str | None], dict[int, np.ndarray]]:
-        """Consistent forms, and for each text that isn't plain ASCII where in it every character of its form came from."""
+        """Consistent forms, and for each text that isn't plain ASCII the place in it of every character of its form.
+
+        The places are two rows: where the first and behind the last character stand that a character was made of.
+        """
         out, places = [], {}
         for begin, end in text_slices(texts):
             forms, own = self._slice(texts[begin:end])
@@ -145,17 +148,15 @@ class GlyphTables:
         # join with the mapping: characters that are themselves keep one place, others get as many as they have parts
         count = self.length[flat].astype(np.int64)
         source = self.start[flat]
-        joiners = np.flatnonzero(flat == JOINER)
-        if joiners.size:
-            inner = joiners[(joiners > 0) & (joiners < flat.size - 1)]
-            before = np.where(self._selector(flat[inner - 1]) & (inner > 1), flat[np.maximum(inner - 2, 0)], flat[inner - 1])
-            kept = inner[self.picture[before] & self.picture[flat[inner + 1]]]
+        kept = self._kept_joiners(flat, row)
+        if kept.size:
             count[kept] = 1
             source = source.copy()
             source[kept] = -1
         ends = np.cumsum(count)
         cps, rows = np.repeat(flat, count), np.repeat(row, count)
         mapped, came = np.repeat(source, count), np.repeat(np.arange(flat.size), count)
+        behind = came + 1
         hit = mapped >= 0
         cps[hit] = self.pool[(mapped + np.arange(cps.size) - np.repeat(ends - count, count))[hit]]
         # order marks by class within each run of marks
@@ -165,9 +166,10 @@ class GlyphTables:
             fresh = np.ones(marks.size, bool)
             fresh[1:] = (np.diff(marks) != 1) | (np.diff(rows[marks]) != 0)
             run = np.cumsum(fresh) - 1
-            cps[marks] = cps[marks[np.lexsort((np.arange(marks.size), rank[marks], run))]]
-            keep = self._recompose(cps, rows, marks, np.flatnonzero(fresh))
-            cps, rows, came = cps[keep], rows[keep], came[keep]
+            order = marks[np.lexsort((np.arange(marks.size), rank[marks], run))]
+            cps[marks], came[marks], behind[marks] = cps[order], came[order], behind[order]
+            keep = self._recompose(cps, rows, behind, marks, np.flatnonzero(fresh))
+            cps, rows, came, behind = cps[keep], rows[keep], came[keep], behind[keep]
         whole = cps.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         bounds = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(at)))))
         begins = np.concatenate(([0], np.cumsum(sizes)))
@@ -175,21 +177,50 @@ class GlyphTables:
         late[rows[self.late_composer[cps]]] = True
         for k, i in enumerate(at):
             b, e = int(bounds[k]), int(bounds[k + 1])
-            text = whole[b:e]
-            places[i] = came[b:e] - begins[k]
-            if late[k]:  # loose jamo and the like: composed letter by letter, the places stay those of the loose form
-                composed = unicodedata.normalize("NFC", text)
-                places[i] = places[i][: len(composed)] if composed == text else np.linspace(0, len(texts[i]), len(composed), endpoint=False).astype(np.int64)
-                text = composed
-            out[i] = text
+            out[i], places[i] = whole[b:e], np.stack((came[b:e], behind[b:e])) - begins[k]
+            if late[k]:
+                out[i], places[i] = self._compose_late(out[i], places[i])
         return out, places
 
+    def _kept_joiners(self, flat: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Places of joiners between two pictographs (the first may have a selector behind it) of one and the same text."""
+        at = np.flatnonzero(flat == JOINER)
+        at = at[(at > 0) & (at < flat.size - 1)]
+        at = at[(row[at - 1] == row[at]) & (row[at + 1] == row[at])]
+        two = np.maximum(at - 2, 0)
+        skips = self._selector(flat[at - 1]) & (at > 1) & (row[two] == row[at])
+        before = np.where(skips, flat[two], flat[at - 1])
+        return at[self.picture[before] & self.picture[flat[at + 1]]]
+
+    def _compose_late(self, text: str, places: np.ndarray) -> tuple[str, np.ndarray]:
+        """Joins letters with those behind them that aren't marks (loose jamo, some vowel signs); places are joined as well."""
+        letters: list[str] = []
+        spans: list[list[int]] = []
+        base, last = -1, 0  # the letter to join with, and the class of what stands between
+        for ch, begin, end in zip(text, *places.tolist()):
+            own = int(self.mark_class[ord(ch)])
+            if base >= 0 and (base == len(letters) - 1 or 0 < last < own):
+                pair = unicodedata.normalize("NFC", letters[base] + ch)
+                if len(pair) == 1:
+                    letters[base] = pair
+                    spans[base] = [min(spans[base][0], begin), max(spans[base][1], end)]
+                    continue
+            if own == 0:
+                base = len(letters)
+            last = own
+            letters.append(ch)
+            spans.append([begin, end])
+        return "".join(letters), np.array(spans, np.int64).reshape(-1, 2).T
+
     @staticmethod
     def _selector(cps: np.ndarray) -> np.ndarray:
         return (cps == 0xFE0F) | (cps == 0xFE0E)
 
-    def _recompose(self, cps: np.ndarray, rows: np.ndarray, marks: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """Merge each mark into the letter before its run where Unicode has the composed letter; returns what remains."""
+    def _recompose(self, cps: np.ndarray, rows: np.ndarray, behind: np.ndarray, marks: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Merge each mark into the letter before its run where Unicode has the composed letter; returns what remains.
+
+        The place behind a letter (``behind``) moves past the marks merged into it.
+        """
         begin = marks[firsts]
         sizes = np.diff(np.append(firsts, marks.size))
         has_letter = (begin > 0) & (rows[np.maximum(begin - 1, 0)] == rows[begin])
@@ -207,6 +238,7 @@ class GlyphTables:
             merged = (self.pair_keys[where] == key) & (last[live] < own)
             cps[letter_at[live[merged]]] = self.pair_values[where[merged]]
             keep[mark_at[merged]] = False
+            behind[letter_at[live[merged]]] = np.maximum(behind[letter_at[live[merged]]], behind[mark_at[merged]])
             last[live[~merged]] = own[~merged]
         return keep
 
