@@ -47,47 +47,86 @@ def parse_header(header: str) -> Header:
     return Header(number, re.sub(r"\s*\([^)]*\)\s*$", "", head).strip(), tuple(dict.fromkeys(found)), open_text, multi)
 
 
+def _squeezed(text: str) -> str:
+    return re.sub(r"[\s/]+", "", text.lower())
+
+
+def answer_table(options: Sequence[str], aliases: Mapping[str, str]) -> dict[str, str]:
+    """The known wordings of a question's answers: ``view:wording`` to the answer, one view per way of reading a cell."""
+    spoken = {o.lower(): o for o in options} | {a.lower(): o for a, o in aliases.items()}
+    rows = {f"{view}:{wording}": answer for view in ("whole", "head") for wording, answer in spoken.items()}
+    return rows | {f"tight:{_squeezed(o)}": o for o in options}
+
+
 def canonical_single(value: Column, aliases: Mapping[str, str], options: Sequence[str]) -> Column:
-    """An answer in its canonical form: by alias, by option, by option without spaces and slashes, by what stands before a
-    full stop; unchanged if nothing fits. Lists are those of one question."""
-    key, tight = F.lower(F.trim(value)), F.regexp_replace(F.lower(value), r"[\s/]+", "")
-    head = F.trim(F.get(F.split(F.lower(value), r"\."), F.lit(0)))
-    look = lambda pairs, k: F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[k] if pairs else F.lit(None).cast("string")
-    by_option = {o.lower(): o for o in options}
-    by_tight = {re.sub(r"[\s/]+", "", o.lower()): o for o in options}
-    alias = {k.lower(): v for k, v in aliases.items()}
-    return F.coalesce(look(alias, key), look(by_option, key), look(by_tight, tight), look(alias, head), look(by_option, head), F.trim(value))
+    """An answer in its canonical form, unchanged if it has none: the cell is looked up in ``answer_table`` as a whole, then
+    without spaces and slashes, then what stands before its first full stop. Lists are those of one question."""
+    known = answer_table(options, aliases)
+    if not known:
+        return F.trim(value)
+    low = F.lower(value)
+    views = {"whole": F.trim(low), "tight": F.regexp_replace(low, r"[\s/]+", ""), "head": F.trim(F.substring_index(low, ".", 1))}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(*(table[F.concat(F.lit(f"{view}:"), shown)] for view, shown in views.items()), F.trim(value))
+
+
+class OptionReader:
+    """Reads the options of a multi-answer cell.
+
+    Every place where an option stands between borders is noted in one scan; places are then granted to the longest
+    options first, and what no option was granted is split at commas and looked up as an alias or a squeezed option.
+    """
+
+    def __init__(self, options: Sequence[str], aliases: Mapping[str, str]) -> None:
+        self.ranked = sorted(dict.fromkeys(options), key=lambda o: (-len(o), o))
+        self.forms = [(o, o.lower()) for o in self.ranked if o]
+        self.loose = {_squeezed(o): o for o in options} | {_squeezed(a): o for a, o in aliases.items()}
+        self.alias = {a.lower(): o for a, o in aliases.items()}
+        begins = "|".join(sorted({re.escape(low[0]) for _, low in self.forms}))
+        self.begins = re.compile(rf"(?<![a-z0-9])(?:{begins})" if begins else r"(?!)")
+
+    def places(self, low: str) -> list[tuple[int, int, int]]:
+        """``(rank, begin, end)`` of every option at every place of a lower-case cell."""
+        found = []
+        for begin in (m.start() for m in self.begins.finditer(low)):
+            for rank, (_, form) in enumerate(self.forms):
+                end = begin + len(form)
+                if low.startswith(form, begin) and not re.match(r"[a-z0-9]", low[end : end + 1]):
+                    found.append((rank, begin, end))
+        return sorted(found)
+
+    def read(self, value: str) -> list[str]:
+        low = value.lower() if len(value.lower()) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        taken = bytearray(len(low))
+        answers = []
+        for rank, begin, end in self.places(low):
+            if not any(taken[begin:end]):
+                taken[begin:end] = b"\1" * (end - begin)
+                answers.append(self.forms[rank][0])
+        rest = "".join("\n" if t else "," if c == "|" else c for c, t in zip(value, taken))
+        for piece in (p.strip(" ,.;|") for p in re.split(r"[,\n]", rest)):
+            if piece:
+                answers.append(self.alias.get(piece.lower()) or self.loose.get(_squeezed(piece)) or piece)
+        return list({a.lower(): a for a in reversed(answers)}.values())[::-1]
 
 
 def tokens_of(value: str, options: Sequence[str], aliases: Mapping[str, str]) -> list[str]:
-    """The options of a multi-answer cell: longest first, on word borders, each taken out of the cell; leftovers by alias,
-    option or squeezed option, else as they stand; no option twice."""
-    left, found = f" {value} ", []
-    for option in sorted(options, key=lambda o: (-len(o), o)):
-        pattern = re.compile(rf"(?<![A-Za-z0-9]){re.escape(option)}(?![A-Za-z0-9])", re.I)
-        if pattern.search(left):
-            found.append(option)
-            left = pattern.sub(" | ", left, count=20)
-    squeezed = {re.sub(r"[\s/]+", "", o.lower()): o for o in options}
-    alias = {k.lower(): v for k, v in aliases.items()}
-    for piece in re.split(r"[,|]", left):
-        rest = piece.strip(" ,.;|")
-        if rest:
-            low = rest.lower()
-            found.append(alias.get(low) or squeezed.get(re.sub(r"[\s/]+", "", low)) or rest)
-    return list({f.lower(): f for f in reversed(found)}.values())[::-1]
+    """The distinct answers of one multi-answer cell: options by length, then the leftovers."""
+    return OptionReader(options, aliases).read(value)
 
 
 def canonical_multi(df: DataFrame, question: str, value: str, options: Mapping[str, Sequence[str]], aliases: Mapping[str, Mapping[str, str]] | None = None, out: str = "canonical") -> DataFrame:
     """Adds the canonical answers of multi-answer cells joined by ``, ``."""
     ship_package(df.sparkSession)
     aliases = aliases or {}
+    readers = {q: OptionReader(own, aliases.get(q, {})) for q, own in options.items()}
+    unlisted = OptionReader((), {})
     schema = df.withColumn(out, F.lit(None).cast("string")).schema
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             cells = zip(batch.column(batch.schema.get_field_index(question)).to_pylist(), batch.column(batch.schema.get_field_index(value)).to_pylist())
-            done = [None if v is None else ", ".join(tokens_of(v, options.get(q, ()), aliases.get(q, {}))) for q, v in cells]
+            done = [None if v is None else ", ".join(readers.get(q, unlisted).read(v)) for q, v in cells]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string())], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
