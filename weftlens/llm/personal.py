@@ -1,13 +1,15 @@
 """Personal information in free text (problem 6): find it, name its kind, replace it by a placeholder.
 
-Offset-preserving deobfuscation. A first transducer brings a text to its consistent form (look-alike letters, invisible
-characters, full-width digits; see ``visual``) and keeps, for every character of the form, its place in the source. A
-second one undoes disguises where they occur, again with places: spelled digits, "at"/"dot" in addresses of mail.
-Identifiers are detected in the form and their spans are carried back, so that the rest of the source stays untouched.
+Offset-preserving deobfuscation by two transducers in a row, each of which gives every character it emits its place in
+what it read. The first brings a text to its consistent form (look-alike letters, invisible characters, full-width
+digits; see ``visual``). The second (``undisguise``) emits digits for spelled digits, ``@`` and ``.`` for "at" and "dot" in
+addresses of mail, and single spaced-out characters as one word. All identifiers are detected in what comes out, and
+their spans are carried back through both, so that the rest of the source stays untouched.
 
 Kinds: EMAIL, PHONE, ID (national, tax or passport number behind its word), ADDRESS (street, plot or box), NAME (given
-name with surname in any order or case, with initials, or run together in a handle). A given name comes from a list; a
-surname is a word beside it that isn't a common word of the languages at hand.
+name with surname in any order or case, with initials, or run together in a handle). Words are weighed as names by a
+model of their letters (``NameModel``), in which standing in the list of given names is one feature; a surname is a word
+beside a given name that isn't a common word of the languages at hand.
 
 Defined cases: null stays null without a kind; empty stays empty; texts are read whole; a span belongs to one kind, mail
 before address, number and name; a text with several kinds has one row per kind.
@@ -16,8 +18,10 @@ before address, number and name; a text with several kinds has one row per kind.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +61,8 @@ DIGIT_WORDS = {
 }
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_AT = r"(?:\s?@\s?|\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)"
-_DOT = r"(?:\.|\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)"
-_EMAIL = re.compile(rf"(?<![\w.+-])[a-z0-9](?:[a-z0-9_%+.-]*[a-z0-9_])?{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]{{2,}})+", re.I)
+_EMAIL = re.compile(r"(?<![\w.+-])[a-z0-9](?:[a-z0-9_%+.-]*[a-z0-9_])?\s?@\s?[a-z0-9-]+(?:\.[a-z0-9-]{2,})+", re.I)
 _PLAIN_AT = re.compile(r"@|[\[({<]\s*at\s*[\])}>]", re.I)
-_PLAIN_DOT = re.compile(r"[\[({<]\s*dot\s*[\])}>]|\sdot\s", re.I)
 _STREET = r"(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|close|crescent|cres|way|court|boulevard|blvd|highway|estate)"
 _ADDRESS = (
     re.compile(r"\b(?:p\.?\s?o\.?\s?box|p\.?\s?m\.?\s?b\.?|s\.?l\.?p\.?|sanduku\s+la\s+posta)\s*(?:no\.?\s*)?\d[\d-]*(?:,\s*[^\W\d_]+)?", re.I),
@@ -81,31 +82,135 @@ _NUMBER = re.compile(r"(?<![\w#@/.,:-])[+(]{0,2}\d(?:[\s().\-/]{0,3}\d){5,19}(?!
 _GROUPED = re.compile(r"\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}$|\d{4}[/-]\d{1,2}[/-]\d{1,2}$")
 _HANDLE = re.compile(r"(?<![\w@.])@?[^\W\d_]+(?:[._-][^\W\d_]+)*\d*(?![\w@])")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_GAP = re.compile(r"\s+(?:[^\W\d_]\.?\s+)?$|\s*$")
 
 
-def _digit_words(text: str, words: Sequence[re.Match]) -> list[tuple[int, int, str]]:
-    """Runs of at least seven spelled (or single) digits: their span and the digits."""
-    runs, digits, begin, end = [], "", 0, 0
-    double = False
-    for m in re.finditer(r"[^\W\d_]+|\d|[^\w\s,.-]", text.lower()):
-        w = m.group()
-        if w == "double":
-            double = True
-            continue
-        d = DIGIT_WORDS.get(w, w if w.isdigit() else None)
-        if d is None:
-            if len(digits) >= 7:
-                runs.append((begin, end, digits))
-            digits = ""
+#: What the second transducer reads: addresses of mail in disguise, spaced-out characters around an @, words, digits.
+_MAIL_WORD = r"[a-z0-9_%+.-]*[a-z0-9_]"
+_SAY_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
+_SAY_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
+_SAID_MAIL = re.compile(rf"(?<![\w.+@-]){_MAIL_WORD}(?:{_SAY_DOT}{_MAIL_WORD})*{_SAY_AT}[a-z0-9-]+(?:(?:{_SAY_DOT}|\.)[a-z0-9-]+)+", re.I)
+_SAID_SIGNS = re.compile(rf"({_SAY_AT})|({_SAY_DOT})", re.I)
+_SPACED_OUT = re.compile(r"(?<!\S)[^\W_](?: [\w.+-]){1,} @(?: [\w.-]){3,}(?!\S)")
+_SAID_DIGIT = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
+_SAID_NUMBER = re.compile(rf"(?<!\w)(?:(?:double|triple)\s+)?(?:{_SAID_DIGIT}|\d{{1,9}})(?:[\s,.-]+(?:(?:double|triple)\s+)?(?:{_SAID_DIGIT}|\d{{1,9}})(?!\w))+", re.I)
+_SAID_PART = re.compile(rf"(?:(double|triple)\s+)?({_SAID_DIGIT}|\d+)(?!\w)", re.I)
+_TIMES = {"double": 2, "triple": 3}
+
+
+def _spoken_number(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """The digits of a run that is at least partly spelled, each with its place; None for a run that is plain digits."""
+    found, spelled = [], 0
+    for part in _SAID_PART.finditer(m.string, m.start(), m.end()):
+        word = part[2].lower()
+        digits = DIGIT_WORDS.get(word)
+        spelled += digits is not None
+        if digits is None:
+            found += [(d, part.start(2) + k, part.start(2) + k + 1) for k, d in enumerate(word)] if not part[1] else [(word, part.start(), part.end())]
         else:
-            begin = m.start() if not digits else begin
-            digits += d * (2 if double else 1)
-            end = m.end()
-        double = False
-    if len(digits) >= 7:
-        runs.append((begin, end, digits))
-    return runs
+            found += [(digits, part.start(), part.end())] * _TIMES.get((part[1] or "").lower(), 1)
+    return found if spelled >= 2 and sum(len(d) for d, _, _ in found) >= 6 else None
+
+
+def _spoken_mail(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """A mail address with its signs said; None where nothing marks it as one ("at" and a plain full stop are prose)."""
+    shown = m.group()
+    signs = list(_SAID_SIGNS.finditer(shown))
+    at = next((k for k, sign in enumerate(signs) if sign[1]), None)
+    if at is None or not (_PLAIN_AT.search(shown) or any(sign[2] for sign in signs[at:])):
+        return None
+    if all(sign.group() == "@" for sign in signs):
+        return None  # nothing to undo
+    found, here = [], 0
+    for sign in signs:
+        found += [(c, m.start() + here + k, m.start() + here + k + 1) for k, c in enumerate(shown[here : sign.start()])]
+        found.append(("@" if sign[1] else ".", m.start() + sign.start(), m.start() + sign.end()))
+        here = sign.end()
+    return found + [(c, m.start() + here + k, m.start() + here + k + 1) for k, c in enumerate(shown[here:])]
+
+
+def _spaced_out(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(c, m.start() + k, m.start() + k + 1) for k, c in enumerate(m.group()) if c != " "]
+
+
+def undisguise(form: str) -> tuple[str, np.ndarray | None]:
+    """The text with disguises undone, and the places of its characters in ``form`` (two rows: from, up to); None if equal."""
+    low = form.lower()
+    rules = []
+    if "@" in form or re.search(r"\bat\b", low):
+        rules += [(_SPACED_OUT, _spaced_out), (_SAID_MAIL, _spoken_mail)]
+    if _SAID_WORDS.search(low):
+        rules.append((_SAID_NUMBER, _spoken_number))
+    edits: list[tuple[int, int, list[tuple[str, int, int]]]] = []
+    for pattern, undo in rules:
+        for m in pattern.finditer(form):
+            done = undo(m)
+            if done and all(m.end() <= b or m.start() >= e for b, e, _ in edits):
+                edits.append((*m.span(), done))
+    if not edits:
+        return form, None
+    out, begin, behind, here = [], [], [], 0
+    for b, e, done in [*sorted(edits), (len(form), len(form), [])]:
+        out.append(form[here:b])
+        begin.append(np.arange(here, b))
+        behind.append(np.arange(here, b) + 1)
+        for shown, x, y in done:
+            out.append(shown)
+            begin.append(np.full(len(shown), x))
+            behind.append(np.full(len(shown), y))
+        here = e
+    return "".join(out), np.stack((np.concatenate(begin), np.concatenate(behind))).astype(np.int64)
+
+
+#: Two digit words near each other: what makes a text worth reading for spelled numbers.
+_SAID_WORDS = re.compile(rf"(?:\b(?:{_SAID_DIGIT})\b[\s,.\d-]*(?:double\s+|triple\s+)?){{2}}")
+
+
+class NameModel:
+    """How much a word looks like a personal name: log odds of its letters between given names and common words.
+
+    Letters are read with the two before them (borders count); each context is smoothed towards the shorter one. The list
+    of given names is both the sample of names and, as a feature of its own, worth ``LISTED``.
+    """
+
+    LISTED = 4.0
+
+    def __init__(self, names: Iterable[str], common: Iterable[str]) -> None:
+        self.listed = frozenset(names)
+        self.common = frozenset(common)
+        self.odds: dict[str, float] = {}
+        self.counts = [self._count(self.listed), self._count(w for w in self.common - self.listed if len(w) > 2)]
+
+    @staticmethod
+    def _count(words: Iterable[str]) -> dict[str, float]:
+        found: dict[str, float] = defaultdict(float)
+        for word in words:
+            bordered = f"^^{word}$"
+            for i in range(2, len(bordered)):
+                for n in (0, 1, 2):
+                    found[bordered[i - n : i + 1]] += 1
+                    found[f"{bordered[i - n : i]}*{n}"] += 1
+        return dict(found)
+
+    def _log(self, counts: dict[str, float], word: str) -> float:
+        bordered, total = f"^^{word}$", 0.0
+        for i in range(2, len(bordered)):
+            p = 1 / 40
+            for n in (0, 1, 2):
+                context = counts.get(f"{bordered[i - n : i]}*{n}", 0.0)
+                p = (counts.get(bordered[i - n : i + 1], 0.0) + 4 * p) / (context + 4)
+            total += float(np.log(p))
+        return total
+
+    def word(self, word: str) -> float:
+        """Evidence that a (lower-case) word is a name; common words have none."""
+        known = self.odds.get(word)
+        if known is None:
+            if len(self.odds) > 200_000:
+                self.odds.clear()
+            letters = self._log(self.counts[0], word) - self._log(self.counts[1], word)
+            known = self.LISTED + letters if word in self.listed else -self.LISTED if word in self.common else letters
+            self.odds[word] = known
+        return known
 
 
 def _is_phone(shown: str, digits: str) -> bool:
@@ -129,9 +234,14 @@ def _like_case(given: str, other: str) -> bool:
     return given[0].isupper() == other[0].isupper()
 
 
+def _alone(text: str, begin: int, end: int) -> bool:
+    """Whether a span is all of a text but signs."""
+    return not any(map(str.isalnum, text[:begin] + text[end:]))
+
+
 def _names(text: str, words: Sequence[re.Match], common: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """Names that begin, or end, with a given name of the list."""
     n = len(words)
-    few = n <= 4
     taken = -1
     for i, m in enumerate(words):
         given = m.group()
@@ -139,28 +249,79 @@ def _names(text: str, words: Sequence[re.Match], common: frozenset[str]) -> Iter
         if i <= taken or low not in GIVEN_NAMES or (m.start() and text[m.start() - 1] in "@#"):
             continue
         least = 7 if given[0].islower() and low in WORD_NAMES else 6 if given[0].islower() else 4
-        j, end = i, m.end()
+        j, end, sure = i, m.end(), None
         while j + 1 < n and j < i + 3:  # initials and further given names, then the surname
             other = words[j + 1]
             between = text[end : other.start()]
             if between.strip(" .") or "\n" in between or (between.strip() and len(words[j].group()) > 1):
                 break
             word = other.group()
-            j, end = j + 1, other.end()
-            if len(word) == 1 or (word.lower() in GIVEN_NAMES and j + 1 < n and not text[end : words[j + 1].start()].strip()):
-                continue
-            if word.lower() in GIVEN_NAMES or (_like_case(given, word) and _surname(word, common, least)):
-                yield m.start(), end
-                taken = j
-            break
-        if taken < i and i:
+            if word.lower() in GIVEN_NAMES:
+                if low in WORD_NAMES and word.lower() in WORD_NAMES and word[0].islower():
+                    break
+                j, end = j + 1, other.end()
+                sure = (j, end)  # two given names are a name, whatever follows
+            elif len(word) == 1:
+                j, end = j + 1, other.end()
+            else:
+                if _like_case(given, word) and _surname(word, common, least):
+                    sure = (j + 1, other.end())
+                break
+        if sure is not None:
+            taken = sure[0]
+            yield m.start(), sure[1]
+        elif i:
             before = words[i - 1]
             between = text[before.end() : m.start()]
-            if (between.strip() == "," or (few and not between.strip() and i == 1)) and _like_case(given, before.group()) and _surname(before.group(), common, max(5, least)):
+            if (between.strip() == "," or (not between.strip() and _alone(text, before.start(), end))) and _like_case(given, before.group()) and _surname(before.group(), common, max(5, least)):
                 yield before.start(), m.end()
                 taken = i
 
 
+# Words with which people introduce somebody by name, and words that merely announce a person.
+_INTRODUCES = re.compile(
+    r"(?:\b(?:my|his|her|your|whose|full|the)\s+(?:full\s+)?names?\s+(?:is|was|are|na)|\b(?:called|named|signed|sincerely|regards)|\bjina\s+(?:langu|lake)\s+ni|\bnaitwa|\banaitwa|\bsunana|\bsunansa|\borúkọ\s+mi\s+ni|\baha\s+m\s+bụ"
+    r"|\b(?:mr|mrs|ms|dr|prof|rev)\.?)[\s,:—-]+$",
+    re.I,
+)
+_ANNOUNCES = re.compile(r"(?:\bi\s+am|\bi['’]m|\bthis\s+is|\b(?:ask(?:\s+for)?|contact|call|text|thanks?|yours|meet|met|dear|tell|told|know|knows|help|muulize|pastor|sir|madam))[\s,:—-]+$", re.I)
+#: Words behind a pair of words that make it a place, a street or a show.
+_NO_PERSON = frozenset("street st road rd lane ln avenue ave drive dr close crescent way court highway estate market town village city county state river lake hill school church hospital hotel show podcast talks radio tv channel club bus station".split())
+_PLACE_BEFORE = re.compile(r"\b(?:in|at|from|near|to|of|off|via|between|kutoka|hadi|katika|mtaa|barabara|njia|lake|mount|fort|port|the)\s+$", re.I)
+#: What two unlisted words must reach to count as a name behind a word that announces a person.
+LEAST_EVIDENCE = -13.0
+
+
+def _unlisted_names(text: str, words: Sequence[re.Match], model: NameModel) -> Iterator[tuple[int, int]]:
+    """Pairs of capitalised words (with an initial between them, or not) behind words that introduce somebody by name, or
+    that announce a person where the letters don't speak against it. A pair that stands alone is left: nothing tells an
+    unlisted name from a nickname there."""
+    for i, m in enumerate(words[:-1]):
+        first = m.group()
+        if not first[0].isupper() or (first.isupper() and not text.isupper()) or len(first) < 3 or (m.start() and text[m.start() - 1] in "@#_."):
+            continue
+        j = i + 1
+        if len(words[j].group()) == 1 and j + 1 < len(words):
+            j += 1
+        last = words[j]
+        between = text[m.end() : last.start()]
+        word = last.group()
+        if between.strip(" ." + text[words[i + 1].start()]) or "\n" in between or len(word) < 3 or not word[0].isupper():
+            continue
+        behind = words[j + 1].group().lower() if j + 1 < len(words) and not text[last.end() : words[j + 1].start()].strip() else ""
+        if behind in _NO_PERSON or text[last.end() : last.end() + 1].isdigit() or _PLACE_BEFORE.search(text, 0, m.start()):
+            continue
+        low, second = first.lower(), word.lower()
+        if {low, second} & TITLES or second in _NO_PERSON or low in _NO_PERSON:
+            continue
+        known = len({low, second} & model.common)
+        head = text[max(0, m.start() - 40) : m.start()]
+        if known < 2 and _INTRODUCES.search(head):
+            yield m.start(), last.end()
+        elif not known and _ANNOUNCES.search(head) and model.word(low) + model.word(second) >= LEAST_EVIDENCE:
+            yield m.start(), last.end()
+
+
 def _handle_name(handle: str, common: frozenset[str]) -> bool:
     bare = handle.lstrip("@").rstrip("0123456789")
     pieces = [p for part in re.split(r"[._-]", bare) for p in (_CAMEL.findall(part) if not (part.islower() or part.isupper()) else [part])]
@@ -174,24 +335,26 @@ def _handle_name(handle: str, common: frozenset[str]) -> bool:
     return False
 
 
-def find_personal(form: str, common: frozenset[str]) -> list[tuple[int, int, str]]:
+def find_personal(form: str, common: frozenset[str], model: NameModel | None = None) -> list[tuple[int, int, str]]:
     """Spans ``(begin, end, kind)`` in a text of consistent form, in order and without overlaps."""
+    plain, places = undisguise(form)
+    found = _find(plain, common, model)
+    if places is None:
+        return found
+    return [(int(places[0, b:e].min()), int(places[1, b:e].max()), kind) for b, e, kind in found]
+
+
+def _find(form: str, common: frozenset[str], model: NameModel | None) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
 
     def add(begin: int, end: int, kind: str) -> None:
         if all(end <= b or begin >= e for b, e, _ in found):
             found.append((begin, end, kind))
 
-    has_digit = any(c in form for c in "0123456789")
-    low = form.lower()
-    at = "@" in form or "at]" in low or "at)" in low or "at}" in low or "at>" in low
-    if at or " dot " in low or "[dot]" in low or "(dot)" in low:
+    if "@" in form:
         for m in _EMAIL.finditer(form):
-            shown = m.group()
-            if _PLAIN_AT.search(shown) or _PLAIN_DOT.search(shown):
-                begin, end = m.span()
-                add(begin, end, "EMAIL")
-    if has_digit:
+            add(*m.span(), "EMAIL")
+    if any(c in form for c in "0123456789"):
         for pattern in _ADDRESS:
             for m in pattern.finditer(form):
                 inner = [w.lower() for w in re.findall(r"[^\W\d_]+", m.group())[:-1]]
@@ -207,33 +370,27 @@ def find_personal(form: str, common: frozenset[str]) -> list[tuple[int, int, str
             if _is_phone(m.group(), digits):
                 add(*m.span(), "PHONE")
     words = list(_WORD.finditer(form))
-    lowered = [m.group().lower() for m in words]
-    if sum(w in DIGIT_WORDS for w in lowered) >= 5:
-        for begin, end, digits in _digit_words(form, words):
-            if _is_phone(digits, digits):
-                add(begin, end, "PHONE")
-    if not GIVEN_NAMES.isdisjoint(lowered):
+    if not GIVEN_NAMES.isdisjoint(m.group().lower() for m in words):
         for begin, end in _names(form, words, common):
             add(begin, end, "NAME")
-    if "@" in form or len(words) <= 3:
-        for m in _HANDLE.finditer(form):
-            handle = m.group()
-            if (handle[0] == "@" or (len(words) <= 3 and handle == form.strip())) and _handle_name(handle, common):
-                add(*m.span(), "NAME")
+    for m in _HANDLE.finditer(form) if "@" in form else (x for x in (_HANDLE.fullmatch(form.strip()),) if x):
+        if m.group()[0] == "@" or m.group() == form.strip():
+            begin = m.start() if m.string is form else form.index(m.group())
+            if _handle_name(m.group(), common):
+                add(begin, begin + len(m.group()), "NAME")
+    if model is not None and len(words) > 1:
+        for begin, end in _unlisted_names(form, words, model):
+            add(begin, end, "NAME")
     return sorted(found)
 
 
-def redact(source: str, spans: Sequence[tuple[int, int, str]], places: Sequence[int] | None) -> str:
+def redact(source: str, spans: Sequence[tuple[int, int, str]], places: np.ndarray | None) -> str:
     """The source with each span replaced by ``[KIND]``; ``places`` maps characters of the form to the source."""
     out, at = [], 0
     for begin, end, kind in spans:
-        b = begin if places is None else int(places[begin])
-        e = end if places is None else (int(places[end]) if end < len(places) else len(source))
-        if places is not None:  # invisible characters behind the span belong to what follows
-            last = int(places[end - 1]) + 1
-            e = max(last, min(e, last)) if source[last:e].strip() == source[last:e] and not any(c.isalnum() for c in source[last:e]) else e
+        b, e = (begin, end) if places is None else (int(places[0, begin:end].min()), int(places[1, begin:end].max()))
         out += [source[at:b], f"[{kind}]"]
-        at = e
+        at = max(at, e)
     return "".join([*out, source[at:]])
 
 
@@ -241,16 +398,17 @@ def personal_spans(df: DataFrame, id_col: str, text_col: str, common_words: Sequ
     """``row_id, kinds, redacted``: the distinct kinds found in a text (empty array if none) and the text with placeholders."""
     spark = df.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast((frozenset(w.lower() for w in common_words), glyph_tables()))
+    common = frozenset(w.lower() for w in common_words)
+    shared = spark.sparkContext.broadcast((common, glyph_tables(), NameModel(GIVEN_NAMES, common)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, tables = shared.value
+        common, tables, model = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             forms, places = tables.canonical_with_places(texts)
             kinds, redacted = [], []
             for i, (text, form) in enumerate(zip(texts, forms)):
-                spans = find_personal(form, common) if form else []
+                spans = find_personal(form, common, model) if form else []
                 kinds.append(sorted({k for _, _, k in spans}))
                 redacted.append(redact(text, spans, places.get(i)) if spans else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(redacted, pa.string())], names=["row_id", "kinds", "redacted"])
