@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlens.llm import record_queries
 from weftlens.llm.abuse import AbuseModel, abuse_categories, abuse_scores, fit_abuse
 from weftlens.llm.language import LanguageModel, fit_languages, label_language, label_names, language_stretches
 from weftlens.llm.mixing import exact_total, mix_documents, mix_report, water_fill
@@ -201,9 +202,9 @@ _QUERIES = (p1_found, p1_segments, p1_documents, p3_found, p3_canonical, p4_foun
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    return record_queries.queries() | {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be told in SQL; the tests compare them with brute force, exact round trips and held-out samples."""
-    return {}
+    """What of these can be told in SQL; the tests compare the rest with brute force, exact round trips and held-out samples."""
+    return record_queries.oracle_sql()
