@@ -21,7 +21,7 @@ def test_entry_without_the_optional_package(tmp_path):
         if "llm" not in relative.parts:
             (tmp_path / relative).parent.mkdir(parents=True, exist_ok=True)
             (tmp_path / relative).write_text(path.read_text())
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'p2_found' in q and 'p1_found' not in q; assert set(e.oracle_sql()) <= set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'topn_per_source' in q and not [n for n in q if n.startswith('p')]; assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True).returncode == 0
 
 
