@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +14,19 @@ from weftlens.llm.language import LanguageModel, fit_languages, label_language,
 from weftlens.llm.mixing import exact_total, mix_documents, mix_report, water_fill
 from weftlens.llm.personal import personal_spans
 from weftlens.llm.reading import rate_all_documents, rate_documents
-from weftlens.llm.seeds import seed_phrases
 from weftlens.llm.tokens import TOKENIZER_DIR, token_counts, token_ids
 from weftlens.llm.visual import canonical_text, look_alike_pairs, look_keys
+from weftlens.llm.listed import all_rows
 from weftlens.runtime import cut_lineage, table
 
 TWEETS, KEPT = "tweet_there_is_no_amount_of", "filtered_v1_kept"
-#: No labelled table is read beyond this many rows; those at hand hold hundreds.
+#: No more labelled rows than these are read for fitting (those at hand hold hundreds), first by a hash of the row.
 MOST_SAMPLES = 20_000
+#: Lists that operators hold whole (languages, targets, entries): beyond this an error, never a part of them.
+MOST_LISTED = 200_000
+#: Texts without labels that the abuse model is held back by.
+MOST_UNLABELLED = 2_000
+_FITTED: dict = {}
 
 
 def _of(name: str) -> Column:
@@ -29,17 +34,34 @@ def _of(name: str) -> Column:
 
 
 def _samples(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> list[tuple]:
-    return [tuple(r) for r in table(spark, sf_dir, name).select(*columns).limit(MOST_SAMPLES).collect()]
+    """Labelled rows, to fit on; in a fixed order, so that a fit doesn't depend on how the table is stored."""
+    rows = table(spark, sf_dir, name).select("sample_id", *columns)
+    return [tuple(r)[1:] for r in rows.orderBy(F.xxhash64(*rows.columns), "sample_id").limit(MOST_SAMPLES).collect()]
+
+
+def _listed(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> list[tuple]:
+    """A whole list; an error if it is longer than an operator may hold."""
+    return all_rows(table(spark, sf_dir, name).select(*columns), MOST_LISTED)
+
+
+def _fitted(fit: Callable, *samples):
+    """What was fitted on these samples before, in this process, or a new fit."""
+    key = (fit.__name__, hash(tuple(tuple(s) for s in samples)))
+    if key not in _FITTED:
+        if len(_FITTED) > 16:
+            _FITTED.clear()
+        _FITTED[key] = fit(*samples)
+    return _FITTED[key]
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> LanguageModel:
     """Prototypes from the language samples, and from the judged reading texts, which are all English."""
     english = [(t, "en") for (t,) in _samples(spark, sf_dir, "reading_label", "sample_text")]
-    return fit_languages(_samples(spark, sf_dir, "lang_sample", "sample_text", "lang") + english)
+    return _fitted(fit_languages, sorted(_samples(spark, sf_dir, "lang_sample", "sample_text", "lang") + english, key=str))
 
 
 def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = label_names(_samples(spark, sf_dir, "language_ref", "lang", "lang_name", "other_labels"))
+    names = label_names(_listed(spark, sf_dir, "language_ref", "lang", "lang_name", "other_labels"))
     model = _languages(spark, sf_dir)
     parts = []
     for src, name, text in (("tweet", TWEETS, "comment_text"), ("kept", KEPT, "comment")):
@@ -93,7 +115,14 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _abuse(spark: SparkSession, sf_dir: str) -> AbuseModel:
-    return fit_abuse([*seed_phrases(), *_samples(spark, sf_dir, "abuse_label", "sample_text", "category")])
+    texts = _texts(spark, sf_dir)
+    drawn = texts.orderBy(F.xxhash64("src_table", "row_id", "scored")).limit(MOST_UNLABELLED).select("scored").collect()
+    return _fitted(fit_abuse, _samples(spark, sf_dir, "abuse_label", "sample_text", "category"), sorted({r[0] for r in drawn}))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, name).select(_of(src), "row_id", F.col(text).alias("scored")) for src, name, text in (("tweet", TWEETS, "comment_text"), ("kept", KEPT, "comment"))]
+    return parts[0].unionByName(parts[1]).filter("scored is not null")
 
 
 def _scores(spark: SparkSession, sf_dir: str, model: AbuseModel) -> DataFrame:
@@ -125,11 +154,9 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
     """Words of the small reference tables: what is in them isn't a surname."""
-    words: set[str] = set()
-    for name, column in (("lang_sample", "sample_text"), ("abuse_label", "sample_text"), ("reading_label", "sample_text"), ("codebook_dim", "option_text"), ("codebook_dim", "option_note")):
-        for (text,) in _samples(spark, sf_dir, name, column):
-            words.update(re.findall(r"[^\W\d_]+", (text or "").lower()))
-    return sorted(words)
+    texts = [table(spark, sf_dir, name).select(F.col(column).alias("t")) for name, column in (("lang_sample", "sample_text"), ("abuse_label", "sample_text"), ("reading_label", "sample_text"), ("codebook_dim", "option_text"), ("codebook_dim", "option_note"))]
+    words = reduce(DataFrame.unionByName, texts).select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), 1)).alias("word")).distinct()
+    return sorted(w for (w,) in all_rows(words, MOST_LISTED))
 
 
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +181,7 @@ def p7_ids(spark: SparkSession, sf_dir: str, tokenizer_dir: str = TOKENIZER_DIR)
 
 
 def _mix(spark: SparkSession, sf_dir: str, exact: bool = False, tokenizer_dir: str = TOKENIZER_DIR):
-    targets = _samples(spark, sf_dir, "mix_target", "source", "target_share", "max_repeats")
+    targets = _listed(spark, sf_dir, "mix_target", "source", "target_share", "max_repeats")
     documents = table(spark, sf_dir, "documents").filter(F.col("source").isin([t[0] for t in targets if t[0] is not None]))
     tokens = cut_lineage(token_counts(documents, "text", ["doc_id", "source"], "byte_bpe_50k", tokenizer_dir))
     sizes = {r[0]: r[1] for r in tokens.groupBy("source").agg(F.sum("tokens")).collect()}  # one row per target

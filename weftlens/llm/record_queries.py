@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from weftlens.llm.canonical_values import Codebook, canonical_values, learned_aliases, without_typos
 from weftlens.llm.format_copies import collapsed_records, format_copies
+from weftlens.llm.listed import all_rows
 from weftlens.runtime import table
 
+#: Entries whose tries an executor can hold; more of them are an error.
+MOST_ENTRIES = 200_000
+
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tweets = table(spark, sf_dir, "tweet_there_is_no_amount_of").select(F.lit("tweet").alias("src_table"), "row_id", F.col("comment_text_norm").alias("record"))
@@ -30,7 +34,7 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags, entries = table(spark, sf_dir, "human_kenya_final_validation_flags"), table(spark, sf_dir, "codebook_dim")
-    listed = [tuple(r) for r in entries.select("question_id", "option_id", "option_text", "option_note").collect()]  # the fixed list of entries
+    listed = all_rows(entries.select("question_id", "option_id", "option_text", "option_note"), MOST_ENTRIES)
     learned = learned_aliases(flags, entries, "question_id", "content_id", "original_value", "cleaned_value", "option_id", "option_text")
     book = Codebook.build(listed, without_typos(learned, Codebook.build(listed)))
     return canonical_values(flags, book, "flag_id", "question_id", "original_value", "cleaned_value")
