@@ -157,8 +157,33 @@ def test_anchors_have_a_bound(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id int, v array<double>")
     got = {r.id: (r.anchor, r.similarity) for r in M.cosine_to_anchors(df, "v", df, "id", "v").collect()}
     assert got == {1: (1, 1.0), 2: (1, 0.0)}
-    with pytest.raises(ValueError):
-        M.cosine_to_anchors(df, "v", df, "id", "v", most_anchors=1)
+    assert {r.id: (r.anchor, r.similarity) for r in M.cosine_to_anchors(df, "v", df, "id", "v", block=1).collect()} == got
+    more = spark.createDataFrame([(i, [float(i % 7), float(i % 5) - 2.0]) for i in range(40)], "id int, v array<double>")
+    blocks = [sorted(map(tuple, M.cosine_to_anchors(more, "v", more, "id", "v", block=n).select("id", "anchor", F.round("similarity", 9)).collect())) for n in (3, 100)]
+    assert blocks[0] == blocks[1] and M.cosine_to_anchors(more, "v", more.limit(0), "id", "v").filter("anchor is not null").count() == 0
+
+
+def test_samples_are_as_large_as_asked(spark):
+    df = spark.range(5000).selectExpr("id % 900 as id", "case when id % 3 = 0 then null else id % 2 end as g")  # ids repeat
+    got = {r.g: r.n for r in S.stratified_sample(df, ["g"], "id", 37).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert got == {None: 37, 0: 37, 1: 37}
+    assert S.global_sample(df, "id", 123).count() == 123 and S.global_sample(df.limit(5), "id", 123).count() == 5
+    assert {r.g: r.n for r in S.quota_sample(df, "g", "id", {0: 3, 1: 9}).groupBy("g").agg(F.count("*").alias("n")).collect()} == {0: 3, 1: 9}
+
+
+def test_retry_waits_as_told():
+    class Busy(Exception):
+        retry_after = 7
+
+    pauses, calls = [], iter([Busy(), ValueError(), None])
+
+    def call():
+        error = next(calls)
+        if error:
+            raise error
+        return [{"id": 1}]
+
+    assert M.with_retry(call, 3, 0.5, pauses.append) == [{"id": 1}] and pauses == [7, 1.0]
 
 
 def test_transcript_repair(spark):

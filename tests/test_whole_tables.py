@@ -15,7 +15,7 @@ def run(spark, sf_dir, name):
 def test_every_event_votes(spark, tmp_path):
     rows = [(i, i % 3, "view" if i % 2 else "click") for i in range(1990, 2200)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
-    got = run(spark, str(tmp_path), "agg_14_repeat_votes_whole").collect()
+    got = run(spark, str(tmp_path), "agg_14_repeat_votes").collect()
     assert sum(sum(json.loads(r.votes_json).values()) for r in got) == 210
     assert all(0 < r.stability <= 1 for r in got)
 
@@ -35,7 +35,7 @@ def transcripts(spark, tmp_path, *texts):
 def test_every_turn_is_probed(spark, tmp_path):
     long = "we spoke about the school fees and about the uncle who paid them for many years"
     sf_dir = transcripts(spark, tmp_path, f"Host: {long} until he left\nGuest: yes\nHost: {long[:50]}\nGuest: \nHost: {long} and more")
-    got = {r.item: (r.probe, r.turn) for r in run(spark, sf_dir, "jon_10_probe_join_whole").collect()}
+    got = {r.item: (r.probe, r.turn) for r in run(spark, sf_dir, "jon_10_probe_join").collect()}
     assert got == {"0-1": (80, 1), "0-2": (80, 2), "0-3": (80, 1), "0-5": (80, 1)}
 
 
@@ -51,7 +51,7 @@ def test_every_flag_has_a_place(spark, tmp_path):
     kinds = ["known-value normalization", "missing value", "filled missing other specify", None]
     rows = [(i, kinds[i % 4], None if i % 5 == 0 else f"c{i % 3}") for i in range(200)]
     spark.createDataFrame(rows, "flag_id long, flag_type string, coder string").write.parquet(str(tmp_path / "human_kenya_final_validation_flags.parquet"))
-    got = sorted((r.position, r.flag_id, r.lv) for r in run(spark, str(tmp_path), "win_11_by_severity_whole").collect())
+    got = sorted((r.position, r.flag_id, r.lv) for r in run(spark, str(tmp_path), "win_11_by_severity").collect())
     at = {"missing value": 0, "filled missing other specify": 1}
     want = sorted(rows, key=lambda r: (at.get(r[1], 2), r[2] is None, r[2] or "", r[0]))
     assert [(p, i) for p, i, _ in got] == [(n, r[0]) for n, r in enumerate(want, 1)]
@@ -68,7 +68,7 @@ def test_unknown_levels_come_last(spark):
 def test_every_chunk_is_a_row(spark, tmp_path):
     words = [f"w{i}" for i in range(45)]
     sf_dir = transcripts(spark, tmp_path, f"Host: {' '.join(words)}\nGuest: yes")
-    got = sorted((r.turn, r.chunk, r.text) for r in run(spark, sf_dir, "mdl_20_word_chunk_rows").collect())
+    got = sorted((r.turn, r.chunk, r.text) for r in run(spark, sf_dir, "mdl_20_word_chunks").collect())
     assert got == [(1, 1, " ".join(words[:20])), (1, 2, " ".join(words[20:40])), (1, 3, " ".join(words[40:])), (2, 1, "yes")]
 
 
@@ -89,7 +89,7 @@ def test_any_line_end(spark, tmp_path):
     assert got == [(0, 1, "Host", "one and two"), (0, 2, "Guest", "three"), (1, 1, "Host", "four"), (1, 2, "Guest", "five"), (2, 1, "Host", "six"), (2, 2, "Guest", "seven")]
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet/*.parquet')")
-    for name in ("jon_10_probe_join_whole", "mdl_20_word_chunk_rows"):
+    for name in ("jon_10_probe_join", "mdl_20_word_chunks"):
         df = run(spark, sf_dir, name)
         assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {', '.join(df.columns)} from ({catalogue.oracle_sql()[name]})").fetchall())
 

@@ -154,19 +154,15 @@ def align_by_position(words: DataFrame, tokens: DataFrame, file: str, order: str
     w = words.select(file, F.col(order).alias("ap_i"), key(F.col(word)).alias("ap_word")).join(n, file).join(m, file)
     w = w.withColumn("ap_at", F.least(F.floor(F.col("ap_i") / F.col("ap_n") * F.col("ap_m")), F.col("ap_m") - 1))
     t = tokens.select(file, F.col(order).alias("ap_j"), key(F.col(word)).alias("ap_word"), F.col(label).alias("ap_label"))
-    # tokens and places of one word of one file in one line: the nearest token before and behind each place
-    line = w.filter("ap_word <> ''").select(file, "ap_word", F.col("ap_at").alias("ap_pos"), "ap_i", F.lit(None).cast("struct<j:bigint,label:string>").alias("ap_token"))
-    line = line.unionByName(t.filter("ap_word <> ''").select(file, "ap_word", F.col("ap_j").cast("long").alias("ap_pos"), F.lit(None).cast("long").alias("ap_i"), F.struct(F.col("ap_j").cast("long").alias("j"), F.col("ap_label").cast("string").alias("label")).alias("ap_token")))
-    order_by = Window.partitionBy(file, "ap_word").orderBy("ap_pos", F.col("ap_i").isNotNull())  # a token stands before a place of the same number
-    before = F.last("ap_token", ignorenulls=True).over(order_by.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first("ap_token", ignorenulls=True).over(order_by.rowsBetween(0, Window.unboundedFollowing))
-    met = line.withColumns({"ap_before": before, "ap_behind": behind}).filter("ap_i is not null")
-    back, ahead = F.col("ap_pos") - F.col("ap_before.j"), F.col("ap_behind.j") - F.col("ap_pos")
-    has_back, has_ahead = F.coalesce(back <= reach, F.lit(False)), F.coalesce(ahead < reach, F.lit(False))
-    label_of = F.when(has_back & (~has_ahead | (back <= ahead)), F.col("ap_before.label")).when(has_ahead, F.col("ap_behind.label"))
-    near = met.filter(has_back | has_ahead).select(file, "ap_i", label_of.alias("ap_near"))
+    # equal words meet in cells of ``reach`` places: a token is in its own, a place looks into its own and both beside it
+    cell = lambda c: F.floor(c / reach)
+    places = w.filter("ap_word <> ''").select(file, "ap_word", "ap_i", "ap_at", F.explode(F.sequence(cell(F.col("ap_at")) - 1, cell(F.col("ap_at")) + 1)).alias("ap_cell"))
+    there = t.filter("ap_word <> ''").withColumn("ap_cell", cell(F.col("ap_j")))
+    away = F.col("ap_j") - F.col("ap_at")
+    met = places.join(there, [file, "ap_word", "ap_cell"]).filter((away >= -reach) & (away < reach))
+    near = met.groupBy(file, "ap_i").agg(F.min_by("ap_label", F.struct(F.abs(away).alias("d"), "ap_j")).alias("ap_near"), F.lit(True).alias("ap_met"))
     at = t.select(file, F.col("ap_j").alias("ap_at"), F.col("ap_label").alias("ap_there"))
-    return w.join(near, [file, "ap_i"], "left").join(at, [file, "ap_at"], "left").select(file, F.col("ap_i").alias(order), F.coalesce("ap_near", "ap_there").alias(label), F.col("ap_near").isNotNull().alias("matched"))
+    return w.join(near, [file, "ap_i"], "left").join(at, [file, "ap_at"], "left").select(file, F.col("ap_i").alias(order), F.coalesce("ap_near", "ap_there").alias(label), F.col("ap_met").isNotNull().alias("matched"))
 
 
 def iterations(df: DataFrame, key: str, n: int, done: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,17 +57,18 @@ def match_replies(ids: Sequence[int], replies: Sequence[dict | None]) -> list[st
 
 
 def with_retry(call: Callable[[], list[dict | None]], attempts: int = 3, wait: float = 0.5, pause: Callable[[float], None] = time.sleep) -> list[dict | None] | None:
-    """The call's result; None after so many failures. Waits double."""
+    """The call's result; None after so many failures. Waits double; a service that says how long to wait (an error with
+    ``retry_after`` seconds, as rate limits have) is given at least that."""
     for attempt in range(attempts):
         try:
             return call()
-        except Exception:  # a service may fail in any way; the row then has no reply
+        except Exception as error:  # a service may fail in any way; the row then has no reply
             if attempt + 1 < attempts:
-                pause(wait * 2**attempt)
+                pause(max(wait * 2**attempt, float(getattr(error, "retry_after", None) or 0.0)))
     return None
 
 
-def run_model(df: DataFrame, key: str, text: str, namespace: str, backend: Backend, cache: DataFrame | None = None, rows_per_call: int = 12, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+def run_model(df: DataFrame, key: str, text: str, namespace: str, backend: Backend, cache: DataFrame | None = None, rows_per_call: int = 12, attempts: int = 3, wait: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Replies for every row, and the fresh cache rows ``cache_key, reply``.
 
     Equal texts are asked once; texts in the cache not at all; blank texts have no reply. Rows are packed into calls
@@ -83,7 +85,7 @@ def run_model(df: DataFrame, key: str, text: str, namespace: str, backend: Backe
             for begin in range(0, len(frame), rows_per_call):
                 part = frame.iloc[begin : begin + rows_per_call]
                 texts = part["t"].tolist()
-                replies = with_retry(lambda: backend(texts), attempts, 0.0)
+                replies = with_retry(lambda: backend(texts), attempts, wait)
                 matched = match_replies(range(1, len(texts) + 1), replies or [])
                 yield pd.DataFrame({"cache_key": part["cache_key"].tolist(), "reply": matched})
 
@@ -105,26 +107,56 @@ def reply_schema(fields: Mapping[str, Sequence[str]]) -> dict:
     return {"type": "object", "additionalProperties": False, "required": list(fields), "properties": {n: {"type": "string", "enum": list(o)} for n, o in fields.items()}}
 
 
-def cosine_to_anchors(df: DataFrame, vector: str, anchors: DataFrame, anchor_id: str, anchor_vector: str, most_anchors: int = 2000) -> DataFrame:
+def cosine_to_anchors(df: DataFrame, vector: str, anchors: DataFrame, anchor_id: str, anchor_vector: str, block: int = 4096) -> DataFrame:
     """Adds ``anchor`` and ``similarity``: the anchor of largest cosine (ties: the smallest id).
 
-    Anchors are a small set: at most ``most_anchors`` are read, as literals of one expression, and an error says if there
-    are more. A zero vector has similarity 0 to everything.
+    Each Arrow batch is multiplied by a broadcast block of at most ``block`` anchors; more anchors are more blocks, each
+    improving on the best so far within the same pass over the rows. A zero, null or shorter vector has similarity 0.
     """
-    rows = anchors.select(anchor_id, anchor_vector).orderBy(anchor_id).limit(most_anchors + 1).collect()
-    if len(rows) > most_anchors:
-        raise ValueError(f"more than {most_anchors} anchors")
-    unit = []
-    for i, v in rows:
-        size = sum(x * x for x in v) ** 0.5
-        unit.append((i, [float(x) / size if size else 0.0 for x in v]))
-    table = F.array(*(F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, v)).alias("v")) for i, v in unit))
-    own = F.transform(F.col(vector), lambda x: x.cast("double"))
-    size = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x))
-    dot = lambda v: F.aggregate(F.zip_with(F.col("ca_own"), v, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    best = F.array_min(F.transform(table, lambda t: F.struct((-dot(t["v"])).alias("s"), t["id"].alias("id"))))
-    scored = df.withColumns({"ca_own": own, "ca_size": size}).withColumn("ca_best", best)
-    return scored.withColumns({"anchor": F.col("ca_best.id"), "similarity": F.coalesce(-F.col("ca_best.s") / F.nullif("ca_size", F.lit(0.0)), F.lit(0.0))}).drop("ca_own", "ca_size", "ca_best")
+    spark = df.sparkSession
+    ship_package(spark)
+    kind = dict(anchors.dtypes)[anchor_id]
+    out = df.withColumns({"anchor": F.lit(None).cast(kind), "similarity": F.lit(None).cast("double")})
+    held: list = []
+
+    def improve(rows: DataFrame, ids: list, unit: np.ndarray) -> DataFrame:
+        shared, width = spark.sparkContext.broadcast((ids, unit)), unit.shape[1]
+        at = rows.columns.index(vector)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own_ids, matrix = shared.value
+            for batch in batches:
+                x = np.zeros((batch.num_rows, width))
+                for i, v in enumerate(batch.column(at).to_pylist()):
+                    if v:
+                        part = np.array([y or 0.0 for y in v[:width]])
+                        size = np.linalg.norm([y or 0.0 for y in v])
+                        x[i, : part.size] = part / size if size else 0.0
+                found = np.round(x @ matrix.T, 12)
+                best = found.argmax(1) if batch.num_rows else np.zeros(0, int)
+                old_id, old = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                ids_now, now = [], []
+                for i, k in enumerate(best):
+                    better = old[i] is None or found[i, k] > old[i]
+                    ids_now.append(own_ids[k] if better else old_id[i])
+                    now.append(float(found[i, k]) if better else old[i])
+                schema = batch.schema
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(ids_now, schema.field(schema.names.index("anchor")).type), pa.array(now, pa.float64())], names=schema.names)
+
+        return rows.mapInArrow(run, rows.schema)
+
+    def unit_rows(vectors: list) -> np.ndarray:
+        width = max((len(v) for v in vectors), default=0)
+        x = np.zeros((len(vectors), max(1, width)))
+        for i, v in enumerate(vectors):
+            x[i, : len(v)] = v
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    for row in anchors.select(anchor_id, anchor_vector).filter(F.col(anchor_vector).isNotNull()).orderBy(anchor_id).toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == block:
+            out, held = improve(out, [i for i, _ in held], unit_rows([v for _, v in held])), []
+    return improve(out, [i for i, _ in held], unit_rows([v for _, v in held])) if held else out
 
 
 def composite(parts: Sequence[tuple[Column, float]]) -> Column:

@@ -1,8 +1,7 @@
 """Samples and assignments. Random order is a hash of id and seed: the same rows on every run and every cluster.
 
-Where a sample is the n first by hash of a group, rows are cut before they are ranked: a threshold on the hash, from the
-group's size, keeps some more than n (never fewer, except with a chance below one in a million, which is then repaired
-by ranking all), so that a hot group isn't sorted whole in one task.
+The n first of a group by hash are a top-n: every partition keeps its own first n of each group before the shuffle, so that
+a hot group is never sorted whole in one task, and a sample is exactly as large as asked for, or as the group is.
 """
 
 from __future__ import annotations
@@ -14,40 +13,34 @@ from pyspark.sql import functions as F
 
 from weftlens.operators.dedup import keep_first
 from weftlens.operators.ordered import numbered, top_n
-from weftlens.runtime import join_null_safe
 
 
 def hash_order(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(seed))
 
 
-def _first_by_hash(df: DataFrame, groups: Sequence[str], id_col: str, n: Column, seed: int) -> DataFrame:
-    """``sample_rank`` 1..n by hash within groups; hot groups are thinned by the hash itself first."""
-    keyed = df.withColumn("sample_hash", hash_order(id_col, seed))
-    sizes = keyed.groupBy(*groups).agg(F.count("*").alias("sample_size"))
-    joined = join_null_safe(keyed, sizes, groups) if groups else keyed.crossJoin(F.broadcast(sizes))  # one row without groups
-    unit = (F.shiftrightunsigned("sample_hash", 11)).cast("double") / F.lit(float(1 << 53))
-    room = (n + 8 * F.sqrt(n) + 40) / F.col("sample_size")
-    thinned = joined.filter(unit <= room)
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(unit, id_col))
-    return thinned.withColumn("sample_rank", rank).filter(F.col("sample_rank") <= n).drop("sample_hash", "sample_size")
+def _first_by_hash(df: DataFrame, groups: Sequence[str], id_col: str, most: int, seed: int) -> DataFrame:
+    """``sample_rank`` 1 to ``most`` by hash within groups, null groups among them."""
+    keyed = df.withColumn("sample_hash", F.shiftrightunsigned(hash_order(id_col, seed), 11))
+    order = [F.col("sample_hash"), F.col(id_col)]
+    return top_n(keyed if groups else keyed.orderBy(*order).limit(most), groups, order, most, "sample_rank").drop("sample_hash")
 
 
 def stratified_sample(df: DataFrame, groups: Sequence[str], id_col: str, n: int, seed: int = 42) -> DataFrame:
     """Up to ``n`` rows of each group."""
-    return _first_by_hash(df, groups, id_col, F.lit(n), seed).drop("sample_rank")
+    return _first_by_hash(df, groups, id_col, n, seed).drop("sample_rank")
 
 
 def global_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows of all, or all if there are fewer."""
-    return _first_by_hash(df, [], id_col, F.lit(n), seed).drop("sample_rank")
+    return _first_by_hash(df, [], id_col, n, seed).drop("sample_rank")
 
 
 def quota_sample(df: DataFrame, group: str, id_col: str, quotas: Mapping[str, int], seed: int = 42) -> DataFrame:
     """A number of rows per group; groups without a quota take no part."""
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col(group)]
     wanted = df.filter(F.col(group).isin(list(quotas))).withColumn("sample_quota", quota)
-    return _first_by_hash(wanted, [group], id_col, F.col("sample_quota"), seed).drop("sample_rank", "sample_quota")
+    return _first_by_hash(wanted, [group], id_col, max(quotas.values(), default=0), seed).filter("sample_rank <= sample_quota").drop("sample_rank", "sample_quota")
 
 
 def orientation_sampling(df: DataFrame, orientation: str, verdict: str, text: str, id_col: str, target: int = 500) -> DataFrame:
@@ -79,7 +72,7 @@ def overlap_design(pool: DataFrame, id_col: str, coders: Sequence[str], shared:
         slots += [(at + i + 1, f"pair_{k + 1}", c) for i in range(size) for c in pair]
         at += size
     design = spark.createDataFrame(slots, "sample_rank int, group_id string, coder string")
-    picked = _first_by_hash(pool.select(id_col), [], id_col, F.lit(at), seed)
+    picked = _first_by_hash(pool.select(id_col), [], id_col, at, seed)
     return picked.join(F.broadcast(design), "sample_rank").select(id_col, "coder", "group_id")
 
 

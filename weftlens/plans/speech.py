@@ -9,19 +9,17 @@ from weftlens.operators import transcript as X
 from weftlens.plans.common import Registry
 from weftlens.plans.rows import _jk
 from weftlens.plans.scalars import _entities, _sq
-from weftlens.runtime import table
+from weftlens.runtime import cut_lineage, table
 from weftlens.sources import speech as S
 
 R = Registry()
 
-_TURNS = r"""lines as (select doc_id as file, unnest(string_split(text, e'\n')) as line, generate_subscripts(string_split(text, e'\n'), 1) as pos from documents where content_type = 'transcript' and not contains(text, chr(13))),
+_TURNS = r"""lines as (select doc_id as file, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) as pos from documents where content_type = 'transcript'),
 marked as (select *, regexp_matches(line, '^(?:\[[^\]]*\] )?([A-Za-z0-9_][A-Za-z0-9_ .''-]{0,30}): (.*)$') as opens from lines where trim(line, ' ') <> ''),
 numbered as (select *, sum(opens::int) over (partition by file order by pos) as turn from marked),
 turns as (select file, turn, max(case when opens then regexp_extract(line, '^(?:\[[^\]]*\] )?([A-Za-z0-9_][A-Za-z0-9_ .''-]{0,30}): (.*)$', 1) end) as speaker,
   string_agg(case when opens then regexp_extract(line, '^(?:\[[^\]]*\] )?([A-Za-z0-9_][A-Za-z0-9_ .''-]{0,30}): (.*)$', 2) else trim(line, ' ') end, ' ' order by pos) as text from numbered where turn > 0 group by 1, 2)
 """
-# The same for whatever line ends a text has, as text_lines reads them.
-_ALL_TURNS = _TURNS.replace(" and not contains(text, chr(13))", "").replace("string_split(text, e'\\n')", r"string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))")
 
 
 def _turns(spark, sf_dir):
@@ -64,16 +62,10 @@ def trx_09_caption_tags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.strip_caption_tags(tagged).alias("text"))
 
 
-@R.query(f"with {_TURNS}, c as (select file, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from turns) select file, turn, ceil(len(w) / 20.0)::bigint as chunks, array_to_string(w[1:20], ' ') as first_chunk from c where len(w) > 0")
-def mdl_20_word_chunks(spark, sf_dir):
-    chunks = X.word_chunks(F.col("text"), 20)
-    return _turns(spark, sf_dir).select("file", "turn", chunks.alias("c")).filter(F.size("c") > 0).select("file", "turn", F.size("c").cast("long").alias("chunks"), F.get("c", F.lit(0)).alias("first_chunk"))
-
-
-@R.query(f"""with {_ALL_TURNS}, c as (select file, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from turns),
+@R.query(f"""with {_TURNS}, c as (select file, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from turns),
 n as (select file, turn, w, unnest(range(ceil(len(w) / 20.0)::bigint)) as i from c)
 select file, turn, i + 1 as chunk, array_to_string(w[i * 20 + 1:i * 20 + 20], ' ') as text from n""")
-def mdl_20_word_chunk_rows(spark, sf_dir):
+def mdl_20_word_chunks(spark, sf_dir):
     """One row per chunk, numbered from 1 in each turn."""
     chunks = _turns(spark, sf_dir).select("file", "turn", F.posexplode(X.word_chunks(F.col("text"), 20)).alias("i", "text"))
     return chunks.select("file", "turn", (F.col("i") + 1).cast("long").alias("chunk"), "text")
@@ -103,25 +95,15 @@ def jon_13_align_by_position(spark, sf_dir):
     from pyspark.sql import Window
 
     each = _turns(spark, sf_dir).select("file", "turn", "speaker", F.posexplode(F.split("text", " ", -1)).alias("k", "word"))
-    w = each.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("turn", "k")) - 1)
-    caps = w.filter("pos % 7 <> 3").withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
+    w = cut_lineage(each.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("turn", "k")) - 1))
+    caps = w.filter("pos % 7 <> 3").withColumn("pos", F.expr("cast(pos - floor((pos + 3) / 7) as int)"))
     return J.align_by_position(caps.select("file", "pos", "word"), w.select("file", "pos", "word", "speaker"), "file", "pos", "word", "speaker")
 
 
-@R.query(f"""with {_TURNS}, items as (select file, turn as item, substring(text, 1, 120) as probe from turns where turn % 3 = 0 and length(text) >= 80),
-j as (select i.file, i.item, t.turn, {_jk('i.probe')} as a, {_jk('t.text')} as b from items i join turns t using (file)),
-m as (select file, item, turn, case when contains(b, substring(a, 1, 80)) then 1 when contains(b, substring(a, 1, 40)) then 2 end as tier from j)
-select file || '-' || item as item, case when min(tier) = 1 then 80 else 40 end as probe, arg_min(turn, (tier, turn)) as turn from m where tier is not null group by file, item""")
-def jon_10_probe_join(spark, sf_dir):
-    t = _turns(spark, sf_dir)
-    items = t.filter("turn % 3 = 0 and length(text) >= 80").select(F.concat(F.col("file").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("item"), "file", F.substring("text", 1, 120).alias("probe_text"))
-    return J.probe_join(items, t, "probe_text", "file", "turn", "text", "item", "file")
-
-
-@R.query(f"""with {_ALL_TURNS}, k as (select file, turn, {_jk('text')} as t from turns),
+@R.query(f"""with {_TURNS}, k as (select file, turn, {_jk('text')} as t from turns),
 m as (select i.file, i.turn as item, t.turn, case when contains(t.t, substring(i.t, 1, 80)) then 1 when contains(t.t, substring(i.t, 1, 40)) then 2 end as tier from k i join k t using (file) where i.t <> '')
 select file || '-' || item as item, case when min(tier) = 1 then 80 else 40 end as probe, arg_min(turn, (tier, turn)) as turn from m where tier is not null group by file, item""")
-def jon_10_probe_join_whole(spark, sf_dir):
+def jon_10_probe_join(spark, sf_dir):
     """Every turn with its whole text; the operator takes the probes of 80 and 40 characters."""
     t = _turns(spark, sf_dir)
     items = t.select(F.concat(F.col("file").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("item"), "file", F.col("text").alias("probe_text"))

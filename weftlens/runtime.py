@@ -67,11 +67,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only where none is set (tests), a folder of this machine."""
+    """Use the shared folder named by ``spark.checkpoint.dir``. Where none is set, a local session (tests) takes a folder of its
+    machine; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftlens-checkpoint-"))
 
 
