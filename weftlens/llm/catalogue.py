@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftlens.llm import record_queries
 from weftlens.llm.abuse import AbuseModel, abuse_categories, abuse_scores, fit_abuse
 from weftlens.llm.language import LanguageModel, fit_languages, label_language, label_names, language_stretches
-from weftlens.llm.mixing import exact_total, mix_documents, mix_report, water_fill
+from weftlens.llm.mixing import mix_documents, mix_report, water_fill, whole_total
 from weftlens.llm.personal import personal_spans
 from weftlens.llm.reading import rate_all_documents, rate_documents
 from weftlens.llm.tokens import TOKENIZER_DIR, token_counts, token_ids
@@ -180,30 +180,33 @@ def p7_ids(spark: SparkSession, sf_dir: str, tokenizer_dir: str = TOKENIZER_DIR)
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k", tokenizer_dir)
 
 
-def _mix(spark: SparkSession, sf_dir: str, exact: bool = False, tokenizer_dir: str = TOKENIZER_DIR):
+def _mix(spark: SparkSession, sf_dir: str, whole: bool = False, tokenizer_dir: str = TOKENIZER_DIR):
     targets = _listed(spark, sf_dir, "mix_target", "source", "target_share", "max_repeats")
     documents = table(spark, sf_dir, "documents").filter(F.col("source").isin([t[0] for t in targets if t[0] is not None]))
     tokens = cut_lineage(token_counts(documents, "text", ["doc_id", "source"], "byte_bpe_50k", tokenizer_dir))
     sizes = {r[0]: r[1] for r in tokens.groupBy("source").agg(F.sum("tokens")).collect()}  # one row per target
-    shares = water_fill(sizes, targets, exact_total(sizes, targets) if exact else None)
+    shares = water_fill(sizes, targets, whole_total(sizes, targets) if whole else None)
     return mix_documents(tokens, shares), shares
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of the mix and how often each is used."""
+    """The documents of the largest mix in which every source that has documents meets its target, and how often each is used."""
     return _mix(spark, sf_dir)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target, reachable and actual shares of a mix as large as its sources."""
-    mix, shares = _mix(spark, sf_dir)
-    return mix_report(mix, shares)
+    """Target, reachable and actual shares of that mix."""
+    return mix_report(*_mix(spark, sf_dir))
 
 
-def p8_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the largest mix in which every source that has documents meets its target."""
-    mix, shares = _mix(spark, sf_dir, exact=True)
-    return mix_report(mix, shares)
+def p8_whole_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a mix as large as its sources: small sources are used as often as they may be, others share the rest."""
+    return _mix(spark, sf_dir, whole=True)[0]
+
+
+def p8_whole_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target, reachable and actual shares of the mix as large as its sources."""
+    return mix_report(*_mix(spark, sf_dir, whole=True))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> list[tuple]:
@@ -225,7 +228,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "english", "reading_level").agg(F.count("*").alias("docs"), F.round(F.avg("reading_scale"), 3).alias("mean_scale"))
 
 
-_QUERIES = (p1_found, p1_segments, p1_documents, p3_found, p3_canonical, p4_found, p4_scores, p4_rates, p6_found, p6_redacted, p7_ids, p8_mix, p8_shares, p8_exact_shares, p9_found, p9_profile)
+_QUERIES = (p1_found, p1_segments, p1_documents, p3_found, p3_canonical, p4_found, p4_scores, p4_rates, p6_found, p6_redacted, p7_ids, p8_mix, p8_shares, p8_whole_mix, p8_whole_shares, p9_found, p9_profile)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

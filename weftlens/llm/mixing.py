@@ -7,6 +7,9 @@ a seeded part of the documents, in order of a hash of document and seed. That or
 (4096 cells of a source, then 4096 cells of the one the cut falls in), so that nothing larger than one cell of a cell is
 ever put in order, and the part is met to within one document.
 
+The shares come as near to their targets as the maximums allow where the total is the largest that every source can bear
+(``exact_total``, the default); a larger total, such as all there is (``whole_total``), makes small sources fall behind.
+
 Defined cases: documents without a token, without a source or of a source without a target are not part of the mix; a
 source without documents takes nothing and its share goes to the others by weight; with no source left the mix is empty;
 a null or negative target counts as 0, a null ``max_repeats`` as 1.
@@ -36,15 +39,19 @@ class Share:
         return self.amount / self.size if self.size else 0.0
 
 
+def _kept(targets: Sequence[tuple[str, float | None, int | None]]) -> dict[str, tuple[float, int]]:
+    return {s: (max(0.0, w or 0.0), max(0, 1 if m is None else m)) for s, w, m in targets if s is not None}
+
+
 def water_fill(sizes: Mapping[str, int], targets: Sequence[tuple[str, float | None, int | None]], total: float | None = None) -> list[Share]:
-    """The amount of each source. ``total`` None: as many tokens as its sources hold; "exact" mixes use ``exact_total``."""
-    kept = {s: (max(0.0, w or 0.0), max(0, 1 if m is None else m)) for s, w, m in targets if s is not None}
+    """The amount of each source. Without a ``total`` it is ``exact_total``, so that every source meets its target."""
+    kept = _kept(targets)
     free = {s for s, (w, m) in kept.items() if w > 0 and m > 0 and sizes.get(s, 0) > 0}
     amounts = dict.fromkeys(kept, 0.0)
-    left = float(sum(sizes[s] for s in free)) if total is None else float(total)
+    left = exact_total(sizes, targets) if total is None else float(total)
     while free and left > 0:
         weight = sum(kept[s][0] for s in free)
-        over = {s for s in free if left * kept[s][0] / weight > kept[s][1] * sizes[s]}
+        over = {s for s in free if left * kept[s][0] / weight > kept[s][1] * sizes[s] * (1 + 1e-12)}
         if not over:
             for s in free:
                 amounts[s] = left * kept[s][0] / weight
@@ -57,10 +64,15 @@ def water_fill(sizes: Mapping[str, int], targets: Sequence[tuple[str, float | No
 
 
 def exact_total(sizes: Mapping[str, int], targets: Sequence[tuple[str, float | None, int | None]]) -> float:
-    """The largest total at which every source that has documents still reaches its share exactly."""
-    present = [(s, w, 1 if m is None else m) for s, w, m in targets if s is not None and w and w > 0 and sizes.get(s, 0) > 0]
-    weight = sum(w for _, w, _ in present)
-    return min((m * sizes[s] * weight / w for s, w, m in present), default=0.0)
+    """The largest total at which every source that has documents, and may be used, still reaches its share exactly."""
+    present = {s: wm for s, wm in _kept(targets).items() if wm[0] > 0 and wm[1] > 0 and sizes.get(s, 0) > 0}
+    weight = sum(w for w, _ in present.values())
+    return min((m * sizes[s] * weight / w for s, (w, m) in present.items()), default=0.0)
+
+
+def whole_total(sizes: Mapping[str, int], targets: Sequence[tuple[str, float | None, int | None]]) -> float:
+    """As many tokens as the sources of the targets hold: small ones are used up to their maximum, and the rest shares their excess."""
+    return float(sum(sizes.get(s, 0) for s, (w, m) in _kept(targets).items() if w > 0 and m > 0))
 
 
 def _order(doc_id: Column, seed: int) -> Column:
