@@ -39,7 +39,14 @@ _PARTS = re.compile(
     rf"|(?P<word>{_LETTER}+(?:['’ʼ-]{_LETTER}+)*)"
     r"|(?P<stop>[.!?…]+|[,;:|/=\n–—]|\s-\s|[\U0001F300-\U0001FAFF☀-➿]+)"
 )
-_MARKS = dict.fromkeys(map(ord, "’ʼʹ"), "'")
+#: The same, read faster: a token with a sign that only such things have is looked at by ``_PARTS``.
+_RUN = r"(?:[^\W\d_]+[̀-ͯ]*|[̀-ͯ]+)++"
+_READ = re.compile(
+    r"([^\s\d@#:/\[]*+[\d@#:/\[]\S*|www\.\S+)"
+    rf"|({_RUN}(?:['’ʼ-]{_RUN})*)"
+    r"|([.!?…]+|[,;|=\n–—]|\s-\s|[\U0001F300-\U0001FAFF☀-➿]+)"
+)
+_MARKS = "’ʼʹ"
 
 
 @dataclass
@@ -167,21 +174,44 @@ def parts(text: str) -> Iterator[tuple[str, int, str]]:
         yield m.group(), m.start(), m.lastgroup
 
 
+_KINDS = {"none": 1, "word": 2, "stop": 3}
+_ASCII_UPPER, _ASCII_LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
+
+
+def _ordinary_case(text: str) -> bool:
+    """Whether a text has more than three times as many small letters as capitals."""
+    data = text.encode("utf-8", "surrogatepass")
+    beyond = "" if len(data) == len(text) else "".join(_BEYOND_ASCII.findall(text))
+    upper = len(data) - len(data.translate(None, _ASCII_UPPER)) + sum(map(str.isupper, beyond))
+    return upper * 3 < len(data) - len(data.translate(None, _ASCII_LOWER)) + sum(map(str.islower, beyond))
+
+
 def read_words(text: str) -> tuple[list[str], list[int], list[bool], list[bool]]:
     """Lower-case words, their places, whether each counts for language, and whether a stop is before it."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is several: letter by letter, so that places hold
+        low = "".join([c if len(c.lower()) != 1 else c.lower() for c in text])
+    for mark in _MARKS:
+        low = low.replace(mark, "'")
+    spans = []  # kind, begin, end of every word and stop
+    for m in _READ.finditer(text):
+        if m.lastindex == 1:
+            spans += [(_KINDS[x.lastgroup], *x.span()) for x in _PARTS.finditer(text, *m.span())]
+        else:
+            spans.append((m.lastindex, *m.span()))
+    ordinary = _ordinary_case(text)
     words, places, counts, stops = [], [], [], []
-    upper = sum(map(str.isupper, text))
-    ordinary = upper * 3 < sum(map(str.islower, text))
     stop = True
-    for piece, place, kind in parts(text):
-        if kind == "stop":
-            stop = True
-        elif kind == "word":
-            words.append(piece.translate(_MARKS).lower())
-            places.append(place)
-            counts.append(not (ordinary and not stop and len(piece) > 1 and piece[0].isupper()))
+    for kind, begin, end in spans:
+        if kind == 2:
+            words.append(low[begin:end])
+            places.append(begin)
+            counts.append(stop or not ordinary or end - begin < 2 or not text[begin].isupper())
             stops.append(stop)
             stop = False
+        elif kind == 3:
+            stop = True
     if not any(counts):
         counts = [True] * len(words)
     return words, places, counts, stops
@@ -196,23 +226,21 @@ def _segment_slice(model: LanguageModel, texts: Sequence[str | None]) -> list[li
     forms = glyph_tables().canonical(texts)
     n = len(model.langs)
     read = [read_words(t) if t else ([], [], [], []) for t in forms]
-    zero = np.zeros(n, np.float32)
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     order = sorted((i for i, r in enumerate(read) if r[0]), key=lambda i: -len(read[i][0]))
     if not order:
         return out
     sizes = np.array([len(read[i][0]) for i in order])
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    # similarities of all words, one text after the other
-    sims = np.empty((begin[-1], n), np.float32)
-    cost = np.empty(begin[-1], np.float32)
-    at = 0
-    for i in order:
-        words, _, counts, stops = read[i]
-        for w, c, s in zip(words, counts, stops):
-            sims[at] = model.word(w) if c else zero
-            cost[at] = model.stop_cost if s else model.switch_cost
-            at += 1
+    # similarities of all words, one text after the other; each distinct word is looked up once
+    known: dict[str, int] = {}
+    number = known.setdefault
+    at = np.array([number(w, len(known)) for i in order for w in read[i][0]], np.int64)
+    counted = np.array([c for i in order for c in read[i][2]], bool)
+    stopped = np.array([x for i in order for x in read[i][3]], bool)
+    sims = np.array([model.word(w) for w in known], np.float32)[at]
+    sims[~counted] = 0.0
+    cost = np.where(stopped, np.float32(model.stop_cost), np.float32(model.switch_cost))
     # best paths, all texts side by side, longest first, so that those still running are a prefix
     best = sims[begin[:-1]].copy()
     came = np.empty((begin[-1], n), np.int8)
@@ -236,14 +264,17 @@ def _segment_slice(model: LanguageModel, texts: Sequence[str | None]) -> list[li
         b, e, state = int(begin[k]), int(begin[k + 1]), int(last[k])
         places = read[i][1]
         found = []
-        right = int(e)
-        for j in range(int(e) - 1, int(b) - 1, -1):
-            back = int(came[j, state]) if j > b else -1
-            if back != state:
-                total = sims[j:right].sum(0)
-                odds = np.exp(np.minimum(60, total - total[state]))
-                found.append((model.langs[state], places[j - b], int(right - j), float(1.0 / odds.sum())))
-                right, state = j, back
+        right, j = e, e - 1
+        while right > b:  # walk back from one change of language to the one before
+            same = came[b + 1 : j + 1, state] == state
+            stays = same[::-1].argmin() if same.size and not same.all() else same.size
+            j -= int(stays)
+            total = sims[j:right].sum(0)
+            odds = np.exp(np.minimum(60, total - total[state]))
+            found.append((model.langs[state], places[j - b], right - j, float(1.0 / odds.sum())))
+            if j > b:
+                state = int(came[j, state])
+            right, j = j, j - 1
         out[i] = found[::-1]
     return out
 
