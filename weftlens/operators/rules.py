@@ -136,3 +136,27 @@ def relevance_score(df: DataFrame, text: str, gender: Patterns, high: Patterns,
 
 def engagement(*columns: str) -> Column:
     return sum((F.coalesce(F.col(c), F.lit(0)) for c in columns), F.lit(0))
+
+
+@dataclass(frozen=True)
+class Step:
+    """One case of a ladder: ``label`` where ``pattern`` is found in the lower-case text and ``where`` (SQL over the columns
+    and the outputs of ladders before) holds; what isn't given holds."""
+
+    label: str
+    pattern: str | None = None
+    where: str | None = None
+
+
+def ladder_coder(df: DataFrame, text: str, ladders: Mapping[str, tuple[Sequence[Step], str]]) -> DataFrame:
+    """Adds one column per ladder: the label of its first step that holds, else its default. Ladders see those before them."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    for name, (steps, default) in ladders.items():
+        out = F.lit(default)
+        for step in reversed(steps):
+            holds = F.lit(True) if step.pattern is None else low.rlike(step.pattern)
+            if step.where is not None:
+                holds = holds & F.coalesce(F.expr(step.where), F.lit(False))
+            out = F.when(holds, F.lit(step.label)).otherwise(out)
+        df = df.withColumn(name, out)
+    return df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
 from weftlens.functions import text as T
@@ -296,6 +298,80 @@ def rul_05_top_posts(spark, sf_dir):
     return _relevance(spark, sf_dir).filter("keep").orderBy(F.desc("relevance"), F.desc("engagement"), "row_id").limit(100).select("row_id", "relevance", "engagement")
 
 
+# ladders of further outputs; labels and patterns are invented for the test tables
+
+_S = RU.Step
+_MORE_AUDIENCE = {
+    "masculinity": ([_S("healing", where="primary_theme = 'emotion'"), _S("equal", "both people|share"), _S("traditional", "should|must", "primary_theme in ('family', 'money')")], "mixed"),
+    "portrayal": ([_S("negative", "women are trash|from the woman"), _S("equal", "both people|respect", "women"), _S("neutral", where="women")], "absent"),
+    "expectation": ([_S("provider", where="primary_theme = 'money'"), _S("open", where="primary_theme = 'emotion'"), _S("disciplined", "discipline|patience"), _S("dominant", "control|rule")], "unstated"),
+    "stereotype": ([_S("reproduces", where="portrayal = 'negative'"), _S("contests", "both people|is not weakness"), _S("mixed", "men |boys")], "unclear"),
+    "prescriptive": ([_S("yes", "should|must|never|always|let us"), _S("partly", "maybe|can |possible")], "no"),
+    "style": ([_S("story", "i lost|i grew|my uncle|my father"), _S("advice", "should|must|let us"), _S("humour", "😂|lol"), _S("reproach", "blam|disagree")], "opinion"),
+    "tone": ([_S("aggressive", "fool|idiot|stupid|useless"), _S("pained", where="primary_theme = 'emotion'"), _S("hopeful", "thank|helped"), _S("light", "😂"), _S("calm", where="prescriptive = 'no'")], "serious"),
+}
+_SNIPPET = {
+    "narrative": ([_S("healing", "sorry|forgiveness|cry"), _S("provision", "money|rent|fees|job"), _S("fatherhood", "father|boys|son"), _S("marriage", "marriage|wife|husband"), _S("faith", "prayer|god")], "general"),
+    "claim": ([_S("men should speak", "nobody tells|talk|spoke", "narrative = 'healing'"), _S("men carry the cost", where="narrative = 'provision'"), _S("boys need guidance", where="narrative = 'fatherhood'"), _S("marriage is shared", "both people|two people")], "no claim"),
+    "solution": ([_S("talk", "talk|spoke|conversation"), _S("pray", "prayer|god"), _S("work", "work|job"), _S("respect", "respect|patience")], "none"),
+    "target": ([_S("boys", "boys|son "), _S("couples", "marriage|husband|wife"), _S("men", "men |father|uncle")], "everyone"),
+}
+_REACTION = {
+    "relation": ([_S("confirms", "true for me|thank"), _S("contradicts", "disagree|not true"), _S("extends", "i lost|i grew|my uncle|my father|in our village")], "unrelated"),
+    "impact": ([_S("changed", "made me think|in a new way|finally"), _S("moved", "cry|carry"), _S("helped", "helped", "relation = 'confirms'"), _S("resisted", where="relation = 'contradicts'")], "none"),
+}
+_POST = {
+    "orientation": ([_S("reflective", "weakness|think|talk"), _S("traditional", "must|should|never"), _S("devout", "prayer|god")], "unclear"),
+    "norm_type": ([_S("provider", "money|rent|fees"), _S("stoic", "hide|silence|cry"), _S("father", "father|boys|son")], "none"),
+    "target": ([_S("boys", "boys"), _S("women", "wom[ae]n|wife"), _S("men", "men |husband|uncle")], "everyone"),
+}
+
+
+def _ladder_sql(source: str, text: str, ladders, keep: Sequence[str] = ()) -> str:
+    """The same ladders as nested selects over ``source``, which has the key, ``text`` and the ``keep`` columns."""
+    sql = f"select *, lower(coalesce({text}, '')) as low from ({source})"
+    for name, (steps, default) in ladders.items():
+        cases = []
+        for s in steps:
+            tests = [f"regexp_matches(low, {sql_text(s.pattern)})"] if s.pattern is not None else []
+            tests += [f"({s.where})"] if s.where is not None else []
+            cases.append(f"when {' and '.join(tests) or 'true'} then {sql_text(s.label)}")
+        sql = f"select *, case {' '.join(cases)} else {sql_text(default)} end as {name} from ({sql})"
+    return f"select {', '.join([*keep, *ladders])} from ({sql})"
+
+
+_THEMED = f"select row_id, comment, {_best_sql(THEMES, 'general')} as primary_theme, regexp_matches(low, 'wom[ae]n|wife') as women from (select *, lower(coalesce(comment, '')) as low from filtered_v1_kept)"
+
+
+@R.query(_ladder_sql(_THEMED, "comment", _MORE_AUDIENCE, ["row_id", "primary_theme"]))
+def rul_01_audience_ladders(spark, sf_dir):
+    """The outputs of the audience coder that are ladders: kind of masculinity, portrayal, expectation, stereotype, and so on."""
+    from weftlens.functions.lexicon import best_label
+
+    low = F.lower(F.coalesce("comment", F.lit("")))
+    rows = table(spark, sf_dir, KEPT).select("row_id", "comment", best_label(low, THEMES, "general").alias("primary_theme"), low.rlike("wom[ae]n|wife").alias("women"))
+    return RU.ladder_coder(rows, "comment", _MORE_AUDIENCE).drop("comment", "women")
+
+
+@R.query(_ladder_sql("select doc_id, text from documents", "text", _SNIPPET, ["doc_id"]))
+def rul_02_snippet_ladders(spark, sf_dir):
+    """The second pass of the snippet coder: narrative, claim, solution, target."""
+    return RU.ladder_coder(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _SNIPPET).drop("text")
+
+
+@R.query(_ladder_sql("select row_id, comment from filtered_v1_kept", "comment", _REACTION, ["row_id"]))
+def rul_03_relation_and_impact(spark, sf_dir):
+    """How a comment stands to the message, and what it did to its writer."""
+    return RU.ladder_coder(table(spark, sf_dir, KEPT).select("row_id", "comment"), "comment", _REACTION).drop("comment")
+
+
+@R.query(_ladder_sql(_relevance_sql() + " select d.row_id, t.text, points, relevance, reason, engagement, not is_repost and relevance >= (case when is_reply then 4 else 3 end) as keep from d join tweet_there_is_no_amount_of t using (row_id)", "text", _POST, ["row_id", "relevance", "reason", "engagement", "keep"]))
+def rul_05_post_table(spark, sf_dir):
+    """Every post with its relevance, engagement, orientation, kind of norm and target."""
+    coded = RU.ladder_coder(_relevance(spark, sf_dir), "text", _POST)
+    return coded.select("row_id", "relevance", "reason", "engagement", "keep", *_POST)
+
+
 @R.query(f"select row_id, case when p >= n + 2 then 'positive' when n >= p + 2 then 'negative' when p > 0 and n > 0 then 'mixed' when p > 0 then 'positive' when n > 0 then 'negative' else 'neutral' end as sentiment from (select row_id, {_sum_hits(POSITIVE, 'lower(comment)')} as p, {_sum_hits(NEGATIVE, 'lower(comment)')} as n from filtered_v1_kept)")
 def rul_06_sentiment(spark, sf_dir):
     from weftlens.functions.lexicon import hits

@@ -56,6 +56,12 @@ def trx_05_restore_surnames(spark, sf_dir):
     return X.restore_surnames(t.withColumn("speaker", name)).select("file", "turn", "speaker")
 
 
+@R.query(f"with {_TURNS} select file, turn, case when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 6 and trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' ') in ('yes', 'amen', 'true', 'thank you') then 'Audience' else speaker end as speaker from turns")
+def rul_07_audience_turns(spark, sf_dir):
+    """Short crowd utterances belong to the audience."""
+    return X.label_audience(_turns(spark, sf_dir), ["yes", "amen", "true", "thank you"]).select("file", "turn", "speaker")
+
+
 @R.query("select doc_id, " + _sq(_entities("regexp_replace('<c.' || source || '>' || text || '</c> a &lt; b &amp;amp; c', '<[^>]*>', '', 'g')", 1)) + " as text from documents")
 def trx_09_caption_tags(spark, sf_dir):
     tagged = F.concat(F.lit("<c."), "source", F.lit(">"), "text", F.lit("</c> a &lt; b &amp;amp; c"))
