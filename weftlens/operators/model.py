@@ -94,12 +94,42 @@ def run_model(df: DataFrame, key: str, text: str, namespace: str, backend: Backe
     return keyed.join(known.filter("reply is not null"), "cache_key", "left").drop("cache_key"), fresh.filter("reply is not null")
 
 
+# The analyses and the fields of their replies, which results are read and written by.
+ANALYSES = {
+    "themes": ("themes",), "sentiment": ("sentiment", "intensity"), "emotion": ("emotions",), "ner": ("entities",), "hate_speech": ("hate_speech", "target_group", "severity"), "toxicity": ("toxicity", "categories"),
+    "misogyny": ("misogyny", "intensity"), "moral_foundations": ("foundations",), "stance": ("stance", "confidence"), "framing": ("frame", "stance_implied"), "argument_mining": ("claim", "reasoning_type", "justification"),
+}
+
+
 def analyses_catalogue() -> dict[str, tuple[str, ...]]:
     """The analyses a reply may hold, and their fields."""
-    return {
-        "sentiment": ("label", "score"), "emotion": ("labels",), "stance": ("label", "target"), "topics": ("labels",), "entities": ("text", "type"), "toxicity": ("score", "reason"),
-        "narrative": ("frame",), "moral_foundations": ("labels",), "rhetoric": ("mode",), "claims": ("claims",), "summary": ("text",),
-    }
+    return dict(ANALYSES)
+
+
+def embed(df: DataFrame, text: str, backend: Callable[[list[str]], list[list[float]] | None], cache: DataFrame | None = None, namespace: str = "embedding", rows_per_call: int = 96, most_chars: int = 8000, attempts: int = 3, wait: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Adds ``embedding``, and gives the fresh cache rows ``cache_key, embedding``.
+
+    Equal texts are embedded once, texts in the cache not at all, blank ones have no vector. A service takes no more than
+    ``most_chars`` characters of a text; the key is that of the whole text. Calls that fail for good leave nulls, which
+    aren't cached.
+    """
+    ship_package(df.sparkSession)
+    keyed = df.withColumn("cache_key", F.when(F.trim(F.coalesce(text, F.lit(""))) != "", T.content_key(F.col(text), namespace)))
+    pending = keyed.filter("cache_key is not null").groupBy("cache_key").agg(F.first(text).alias("t"))
+    if cache is not None:
+        pending = pending.join(cache.filter("embedding is not null").select("cache_key"), "cache_key", "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for begin in range(0, len(frame), rows_per_call):
+                part = frame.iloc[begin : begin + rows_per_call]
+                texts = [t[:most_chars] for t in part["t"]]
+                vectors = with_retry(lambda: backend(texts), attempts, wait) or [None] * len(texts)
+                yield pd.DataFrame({"cache_key": part["cache_key"].tolist(), "embedding": vectors})
+
+    fresh = pending.mapInPandas(run, "cache_key string, embedding array<double>").filter("embedding is not null")
+    known = fresh if cache is None else fresh.unionByName(cache.select("cache_key", F.col("embedding").cast("array<double>").alias("embedding")))
+    return keyed.join(known, "cache_key", "left").drop("cache_key"), fresh
 
 
 def reply_schema(fields: Mapping[str, Sequence[str]]) -> dict:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlens.plans import aggregates, coding, files, rows, scalars, speech
+from weftlens.plans import aggregates, coding, files, recordings, rows, scalars, speech
 
-MODULES = (scalars, rows, aggregates, speech, coding, files)
+MODULES = (scalars, rows, aggregates, speech, recordings, coding, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

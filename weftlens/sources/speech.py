@@ -127,6 +127,19 @@ def transcript_text(t: DataFrame) -> DataFrame:
     return t.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("p")).select("file", F.array_join(F.transform("p", lambda x: x["l"]), "\n\n").alias("text"))
 
 
+def transcript_json(t: DataFrame) -> DataFrame:
+    """``file, json``: turns in order as a list of objects."""
+    turn = F.struct("turn", "speaker", "text")
+    return t.groupBy("file").agg(F.to_json(F.array_sort(F.collect_list(turn))).alias("json"))
+
+
+def transcript_csv(t: DataFrame) -> DataFrame:
+    """``file, csv``: a header and one line per turn, text in double quotes."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("turn").cast("string"), quoted("speaker"), quoted("text"))
+    return t.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("p")).select("file", F.concat(F.lit("turn,speaker,text\n"), F.array_join(F.transform("p", lambda x: x["l"]), "\n")).alias("csv"))
+
+
 def segment_lines(df: DataFrame, start: str, end: str, text: str) -> Column:
     """``[00:00:01.000 --> 00:00:02.500] text``."""
     return F.format_string("[%s --> %s] %s", T.clock_of_seconds(F.col(start)), T.clock_of_seconds(F.col(end)), F.col(text))
