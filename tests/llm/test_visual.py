@@ -58,7 +58,8 @@ def test_places(texts):
         begin, behind = places[i]
         assert len(begin) == len(behind) == len(form)
         for letter, b, e in zip(form, begin, behind):  # a character comes from what its places hold
-            assert 0 <= b < e <= len(text) and letter in V.glyph_tables().canonical([text[b:e]])[0] + text[b:e]
+            shown = V.glyph_tables().canonical([text[b:e]])[0] + text[b:e]
+            assert 0 <= b < e <= len(text) and set(unicodedata.normalize("NFD", letter)) <= set(unicodedata.normalize("NFD", shown))
 
 
 @settings(max_examples=200, deadline=None)
@@ -93,6 +94,9 @@ def test_pairs(spark):
     want = {tuple(sorted((i, j))) for (i, a), (j, b) in combinations([r for r in rows if r[1] and plain(r[1]) and any(c.isalnum() for c in r[1])], 2) if a != b and plain(a) == plain(b)}
     assert got == want == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4), (10, 11)}
     assert V.look_alike_pairs(keys.limit(0), ["src_table"]).count() == 0
+    classes = V.look_alike_classes(keys, ["src_table"]).distinct().collect()
+    assert {(a.row_id, b.row_id) for a in classes for b in classes if a.row_id < b.row_id and a.look_class == b.look_class and a.text_class != b.text_class} == want
+    assert V.look_alike_classes(keys.limit(0), ["src_table"]).count() == 0
 
 
 def test_hot_class_meets_no_copies_of_itself(spark):

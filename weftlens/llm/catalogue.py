@@ -15,7 +15,7 @@ from weftlens.llm.mixing import mix_documents, mix_report, water_fill, whole_tot
 from weftlens.llm.personal import personal_spans
 from weftlens.llm.reading import rate_all_documents, rate_documents
 from weftlens.llm.tokens import TOKENIZER_DIR, token_counts, token_ids
-from weftlens.llm.visual import canonical_text, look_alike_pairs, look_keys
+from weftlens.llm.visual import canonical_text, look_alike_classes, look_alike_pairs, look_keys
 from weftlens.llm.listed import all_rows
 from weftlens.runtime import cut_lineage, table
 
@@ -99,10 +99,20 @@ def _by_text():
     return Window.partitionBy("src_table", "row_id")
 
 
+def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of every text, written down once: 32 bytes a row, which are read several times."""
+    keys = [look_keys(table(spark, sf_dir, name), "row_id", text).select(_of(src), "*") for src, name, text in (("tweet", TWEETS, "text"), ("kept", KEPT, "comment"))]
+    return cut_lineage(keys[0].unionByName(keys[1]))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows whose texts differ as stored but look the same."""
-    keys = [look_keys(table(spark, sf_dir, name), "row_id", text).select(_of(src), "*") for src, name, text in (("tweet", TWEETS, "text"), ("kept", KEPT, "comment"))]
-    return look_alike_pairs(keys[0].unionByName(keys[1]), ["src_table"])
+    return look_alike_pairs(_looks(spark, sf_dir), ["src_table"])
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without pairs, one row per text: its class of look (the smallest row that looks like it) and of stored text."""
+    return look_alike_classes(_looks(spark, sf_dir), ["src_table"])
 
 
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +238,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "english", "reading_level").agg(F.count("*").alias("docs"), F.round(F.avg("reading_scale"), 3).alias("mean_scale"))
 
 
-_QUERIES = (p1_found, p1_segments, p1_documents, p3_found, p3_canonical, p4_found, p4_scores, p4_rates, p6_found, p6_redacted, p7_ids, p8_mix, p8_shares, p8_whole_mix, p8_whole_shares, p9_found, p9_profile)
+_QUERIES = (p1_found, p1_segments, p1_documents, p3_found, p3_classes, p3_canonical, p4_found, p4_scores, p4_rates, p6_found, p6_redacted, p7_ids, p8_mix, p8_shares, p8_whole_mix, p8_whole_shares, p9_found, p9_profile)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

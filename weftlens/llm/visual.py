@@ -298,6 +298,18 @@ def look_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def look_alike_classes(keys: DataFrame, group_cols: list[str]) -> DataFrame:
+    """``group_cols, row_id, look_class, text_class`` of the rows that look like a row of another text: linear in the rows.
+
+    A class is named by its smallest row; rows of one ``text_class`` hold one stored text. Two rows of one ``look_class`` and
+    different ``text_class`` are a pair of ``look_alike_pairs``.
+    """
+    look, raw = [*group_cols, "look_hi", "look_lo"], ["raw_hi", "raw_lo"]
+    texts = keys.groupBy(*look, *raw).agg(F.min("row_id").alias("text_class"))
+    looks = texts.groupBy(*look).agg(F.min("text_class").alias("look_class"), F.count("*").alias("looks")).filter("looks > 1").drop("looks")
+    return keys.join(texts.join(looks, look), [*look, *raw]).select(*group_cols, "row_id", "look_class", "text_class")
+
+
 def look_alike_pairs(keys: DataFrame, group_cols: list[str]) -> DataFrame:
     """All pairs of rows, within ``group_cols``, whose stored texts differ but look the same: ``row_a < row_b``.
 
