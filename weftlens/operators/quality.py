@@ -101,3 +101,40 @@ def same_order(left: DataFrame, right: DataFrame, key: str, order: str) -> DataF
     a = left.select(F.col(key).alias("left_key"), F.col(order).alias("place"))
     b = right.select(F.col(key).alias("right_key"), F.col(order).alias("place"))
     return a.join(b, "place", "full").filter(~F.col("left_key").eqNullSafe(F.col("right_key")))
+
+
+def sheet_checks(rows: DataFrame, item: str, coder: str, group: str, place: str, text: str, master: DataFrame, tracker: DataFrame, whole: str = "all") -> DataFrame:
+    """``name, bad``: checks of coders' files against the master table and the tracker; 0 is what each should say.
+
+    Blank ids, blank texts, items twice in a file, places twice in a file, items the master doesn't know, texts that differ
+    from the master's, shared items that a coder lacks, pair items that don't have two coders, single items that have
+    several, shared items at different places, coders without a file, files that no tracker line names, loads that differ
+    from the tracker's.
+    """
+    count = lambda df, name: df.agg(F.count("*").alias("bad")).select(F.lit(name).alias("name"), "bad")
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    twice = lambda *keys: rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    known = rows.select(item, F.trim(F.col(text)).alias("sc_text")).join(master.select(item, F.trim(F.col(text)).alias("sc_master"), F.lit(1).alias("sc_known")), item, "left")
+    per_item = rows.groupBy(item, group).agg(F.count_distinct(coder).alias("coders"), F.count_distinct(place).alias("places"))
+    loads = rows.groupBy(coder).agg(F.count("*").alias("n")).join(tracker.select(coder, F.col("load").alias("told")), coder, "full")
+    everyone = rows.select(coder).distinct().agg(F.count("*").alias("all_coders"))
+    shared = per_item.filter(F.col(group) == whole)
+    found = [
+        count(rows.filter(blank(item)), "blank id"),
+        count(rows.filter(blank(text)), "blank text"),
+        count(twice(coder, item), "item twice"),
+        count(twice(coder, place), "place twice"),
+        count(known.filter("sc_known is null"), "unknown item"),
+        count(known.filter("sc_known is not null and not (sc_text <=> sc_master)"), "text differs"),
+        count(shared.crossJoin(F.broadcast(everyone)).filter("coders <> all_coders"), "shared item missing"),  # one row
+        count(per_item.filter(F.col(group).startswith("pair") & (F.col("coders") != 2)), "pair item without two"),
+        count(per_item.filter(~F.col(group).startswith("pair") & (F.col(group) != whole) & (F.col("coders") != 1)), "single item with several"),
+        count(shared.filter("places > 1"), "shared place differs"),
+        count(loads.filter("n is null"), "coder without file"),
+        count(loads.filter("told is null"), "file without tracker"),
+        count(loads.filter("n <> told"), "load differs"),
+    ]
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out

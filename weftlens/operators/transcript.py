@@ -15,7 +15,8 @@ from weftlens.functions import text as T
 def flatten_json_blocks(c: Column) -> Column:
     """``{"speaker": "A", "text": "b"}`` within a text becomes a line ``A: b``."""
     out = F.regexp_replace(c, r'\{\s*"speaker"\s*:\s*"([^"]*)"\s*,\s*"text"\s*:\s*"([^"]*)"\s*\},?', "\n$1: $2\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?m)```(?:json)?|^[ \t]*[\[\]][ \t]*$", ""), r"\n{2,}", "\n"))
+    bare = F.regexp_replace(F.regexp_replace(out, r"(?m)```(?:json)?|^[ \t]*[\[\]][ \t]*$", ""), r"\n{2,}", "\n")
+    return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
 def split_inline_markers(c: Column, names: Sequence[str]) -> Column:

@@ -15,6 +15,8 @@ from weftlens.operators import codebook as C
 from weftlens.operators import dedup as D
 from weftlens.operators import model as M
 from weftlens.operators import ordered as W
+from weftlens.operators import quality as Q
+from weftlens.operators import sampling as SA
 from weftlens.operators import transcript as X
 from weftlens.plans.common import FLAGS, KEPT, Registry, sql_text
 from weftlens.plans.scalars import _quotes, _sq
@@ -171,6 +173,110 @@ def mdl_11_embeddings(spark, sf_dir):
     return found.select("doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("width"))
 
 
+_TURN_SCHEMA = "file string, turn int, speaker string, text string"
+
+
+@R.query(values("turn, speaker, text", (1, "Jane Roe", "hello"), (2, "Bob", "hi"), (3, "Jane Roe", "more"), (4, "Jane Roe", "and more"), (5, "Bob", "ok")))
+def trx_01_repair(spark, sf_dir):
+    """Broken JSON, an inline marker and a bare surname become turns."""
+    broken = '[{"speaker": "Jane Roe", "text": "hello"}, {"speaker": "Bob", "text": "hi"}]\nJane Roe: more\nRoe: and more Bob: ok'
+    return X.repaired(spark.createDataFrame([("f", broken)], "f string, t string"), "f", "t", ["Bob", "Jane Roe"]).select("turn", "speaker", "text")
+
+
+@R.query(values("line", ("Jane: hello\nBob: hi there",)))
+def trx_02_json_blocks(spark, sf_dir):
+    rows = spark.createDataFrame([('```json\n[\n{"speaker": "Jane", "text": "hello"},\n{"speaker" : "Bob" , "text": "hi there"}\n]\n```',)], "t string")
+    return rows.select(X.flatten_json_blocks(F.col("t")).alias("line"))
+
+
+@R.query(values("line", ("so we came\nMary Jane: yes\nJane: and then\nBob: no",)))
+def trx_03_inline_markers(spark, sf_dir):
+    return spark.createDataFrame([("so we came Mary Jane: yes Jane: and then Bob: no",)], "t string").select(X.split_inline_markers(F.col("t"), ["Jane", "Bob", "Mary Jane"]).alias("line"))
+
+
+@R.query(f"with {_TURNS} select speaker, count(*) as n from turns where regexp_matches(speaker, '^[A-Z][\\w.''-]*( [A-Z][\\w.''-]*){{0,3}}$') group by 1 having count(*) >= 2")
+def trx_03_observed_speakers(spark, sf_dir):
+    return X.observed_speakers(_turns(spark, sf_dir))
+
+
+@R.query(values("turn, speaker, text", (1, "Host", "thank you"), (2, "Mary Jane", "hello"), (3, "Mary Jane", "x")))
+def trx_04_split_names(spark, sf_dir):
+    rows = [("f", 1, "Host", "thank you Mary"), ("f", 2, "Jane", "hello"), ("f", 3, "Mary Jane", "x")]
+    return X.join_split_names(spark.createDataFrame(rows, _TURN_SCHEMA)).select("turn", "speaker", "text")
+
+
+@R.query(f"with {_TURNS}, e as (select file, turn, speaker, case when turn % 2 = 1 then text || ' Kane' else text end as text from turns union all select file, 0, 'Kane', 'x' from (select distinct file from turns)), s as (select file, count(*) n, sum((text like '% Kane')::int) k from e group by 1) select e.file, turn, case when k >= 3 and k >= 0.4 * n and text like '% Kane' then trim(left(text, length(text) - 5), ' ') else text end as text from e join s using (file)")
+def trx_06_strip_echoes(spark, sf_dir):
+    """A name put behind every other turn of a file is taken off again, where it is frequent enough."""
+    turns = _turns(spark, sf_dir).withColumn("text", F.when(F.col("turn") % 2 == 1, F.concat("text", F.lit(" Kane"))).otherwise(F.col("text")))
+    named = turns.select("file").distinct().select("file", F.lit(0).cast("long").alias("turn"), F.lit("Kane").alias("speaker"), F.lit("x").alias("text"))
+    return X.strip_echoes(turns.unionByName(named)).select("file", "turn", "text")
+
+
+@R.query(values("turn, speaker, text, generic", (1, "Mary Roe", "and then spoke", False), (2, "Speaker 2", "x", True), (3, "J.", "x", False)))
+def trx_08_fix_labels(spark, sf_dir):
+    rows = [("f", 1, "and then Mary", "spoke"), ("f", 2, "Speaker 2", "x"), ("f", 3, "J.", "x")]
+    return X.fix_labels(spark.createDataFrame(rows, _TURN_SCHEMA), {"Mary": "Mary Roe"}).select("turn", "speaker", "text", "generic")
+
+
+@R.query("with a as (select row_number() over (order by s_suppkey) as place, s_suppkey as k from supplier), b as (select row_number() over (order by s_nationkey, s_suppkey) as place, s_suppkey as k from supplier) select place, a.k as left_key, b.k as right_key from a join b using (place) where a.k <> b.k")
+def set_03_same_order(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    left = W.numbered(s, [], ["s_suppkey"], "place")
+    right = W.numbered(s, [], ["s_nationkey", "s_suppkey"], "place")
+    return Q.same_order(left, right, "s_suppkey", "place").select(F.col("place").cast("long").alias("place"), "left_key", "right_key")
+
+
+@R.query(values("name, ok, n", ("distinct items", True, 20), ("load per coder", True, 0), ("coders per item", True, 0)))
+def qac_05_assignment(spark, sf_dir):
+    """The checks of the overlap design: 5 items for everyone and 15 for pairs of the ring."""
+    coders = list("ABCDEF")
+    design = SA.overlap_design(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", coders)
+    return Q.assignment_checks(design, "c_custkey", "coder", "group_id", 6, {"items": 20, "per_coder": 10})
+
+
+@R.query(values("check_name, severity, item, question", ("10 cosmetic", "LOW", "i1", "Q1"), ("2 part outside list", "MED", "i1", "Q1a"), ("3 required blank", "HIGH", "i2", "Q1"), ("7 none beside others", "HIGH", "i2", "Q1a"), ("8 gate closed", "MED", "i2", "Q1a"), ("1 value outside list", "HIGH", "i3", "Q1"), ("9 follow-up blank", "MED", "i4", "Q1a"), ("5 item twice", "HIGH", "i4", "Q1")))
+def qac_03_recoding_report(spark, sf_dir):
+    book = [("Q1", ["Yes", "No"], False, True, None, None), ("Q1a", ["Red", "None", "Blue"], True, False, "Q1", "yes")]
+    rows = [("i1", "a", "Q1", "yes"), ("i1", "a", "Q1a", "Red; Green"), ("i2", "a", "Q1", ""), ("i2", "a", "Q1a", "None; Red"), ("i3", "b", "Q1", "maybe"), ("i4", "b", "Q1", "Yes"), ("i4", "b", "Q1a", None), ("i4", "b", "Q1", "Yes")]
+    codebook = spark.createDataFrame(book, "question string, options array<string>, multi boolean, required boolean, parent string, gate string")
+    answers = spark.createDataFrame(rows, "item string, coder string, question string, answer string")
+    report = Q.recoding_report(answers, codebook, "item", "coder", "question", "answer", ";").distinct()
+    return report.select(F.col("check").alias("check_name"), "severity", "item", "question")
+
+
+# name, severity and condition of the break, in words both engines have
+_WORKBOOK_RULES = (
+    ("id missing", "HIGH", "row_id is null"), ("text missing", "HIGH", "comment is null or trim(comment) = ''"), ("not cleaned", "MED", "comment is not null and comment_text is null"),
+    ("mode outside list", "HIGH", "mode is not null and mode not in ('v1', 'v2')"), ("keep not said", "MED", "comment_text is not null and keep is null"), ("kept without reason", "MED", "keep and (keep_reason is null or keep_reason = '')"),
+    ("word count negative", "HIGH", "word_count < 0"), ("words without text", "HIGH", "word_count > 0 and comment_text is null"), ("votes negative", "HIGH", "vote_count < 0"), ("replies negative", "HIGH", "reply_count < 0"),
+    ("video missing", "LOW", "video_id is null"), ("source missing", "MED", "source_file is null"), ("title missing", "LOW", "title is null or title = ''"), ("loaded before published", "HIGH", "loaded_at < published_at"), ("author missing", "LOW", "author is null or author = ''"),
+)
+
+
+@R.query("select row_id, c.n as check_name, c.s as severity from (select row_id, unnest([" + ", ".join(f"case when coalesce({c}, false) then {{'n': {sql_text(n)}, 's': {sql_text(s)}}} end" for n, s, c in _WORKBOOK_RULES) + f"]) as c from {KEPT}) where c is not null")
+def qac_04_workbook_checks(spark, sf_dir):
+    """Fifteen checks of a coded sheet as rules: every row that breaks one, with its severity."""
+    found = Q.violations(table(spark, sf_dir, KEPT), "row_id", [(n, s, F.expr(c)) for n, s, c in _WORKBOOK_RULES])
+    return found.select("row_id", F.col("check").alias("check_name"), "severity")
+
+
+@R.query(f"""with r as (select row_number() over (partition by coder order by flag_id) as place, content_id as item, coder, 'single' as grp, original_value as text from {FLAGS} where coder is not null),
+m as (select content_id as item, min(original_value) as text from {FLAGS} group by 1), p as (select item, grp, count(distinct coder) c from r group by 1, 2), l as (select coder, count(*) n from r group by 1)
+select 'blank id' as name, count(*) filter (where trim(coalesce(item, ''), ' ') = '') as bad from r union all select 'blank text', count(*) filter (where trim(coalesce(text, ''), ' ') = '') from r
+union all select 'item twice', count(*) from (select coder, item from r group by 1, 2 having count(*) > 1) union all select 'place twice', 0 union all select 'unknown item', count(*) from r where item is null
+union all select 'text differs', count(*) from r join m using (item) where trim(r.text, ' ') is distinct from trim(m.text, ' ') union all select 'shared item missing', 0 union all select 'pair item without two', 0
+union all select 'single item with several', count(*) from p where c <> 1 union all select 'shared place differs', 0 union all select 'coder without file', 1 union all select 'file without tracker', 0 union all select 'load differs', count(*) from l where n <> (select max(n) from l)""")
+def qac_06_file_checks(spark, sf_dir):
+    """The flags as coders' files, each with the largest load on the tracker and one coder who sent none."""
+    flags = table(spark, sf_dir, FLAGS).filter("coder is not null")
+    rows = W.numbered(flags, ["coder"], ["flag_id"], "place").select("place", F.col("content_id").alias("item"), "coder", F.lit("single").alias("grp"), F.col("original_value").alias("text"))
+    master = table(spark, sf_dir, FLAGS).groupBy(F.col("content_id").alias("item")).agg(F.min("original_value").alias("text"))
+    loads = rows.groupBy("coder").agg(F.count("*").alias("n"))
+    tracker = loads.select("coder").unionByName(spark.createDataFrame([("nobody",)], "coder string")).crossJoin(F.broadcast(loads.agg(F.max("n").alias("load"))))  # one row
+    return Q.sheet_checks(rows, "item", "coder", "grp", "place", "text", master, tracker)
+
+
 def queries():
     return R.queries
 
