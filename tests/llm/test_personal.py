@@ -1,6 +1,7 @@
 """Personal information."""
 
 import itertools
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -89,6 +90,12 @@ def test_names_outside_the_list():
     assert not any("[NAME]" in shown(t, model) for t in plain), [shown(t, model) for t in plain]
 
 
+def test_long_texts_take_linear_time():
+    began = time.time()
+    out = shown("Ask Ruth Okelimora or Grace, my name is Thabo Nkosi, call 0912345678 or write to jane at mail dot org. " * 4000, NameModel(GIVEN_NAMES, COMMON))
+    assert out.count("[NAME]") == 8000 and out.count("[PHONE]") == 4000 and out.count("[EMAIL]") == 4000 and time.time() - began < 60
+
+
 def test_operator(spark):
     rows = [(1, "Ask Ruth Okelimora, call 0912345678"), (2, None), (3, ""), (4, "nothing"), (5, "x" * 100_000 + " jane@example.com")]
     got = {r.row_id: r for r in personal_spans(spark.createDataFrame(rows, "row_id long, t string"), "row_id", "t", COMMON).collect()}

@@ -80,6 +80,7 @@ _ID = re.compile(
 _ID_CODE = re.compile(r"(?<![\w@#])[A-Z]\d{9}[A-Z](?!\w)")
 _NUMBER = re.compile(r"(?<![\w#@/.,:-])[+(]{0,2}\d(?:[\s().\-/]{0,3}\d){5,19}(?![\w/:]|,\d)")
 _GROUPED = re.compile(r"\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}$|\d{4}[/-]\d{1,2}[/-]\d{1,2}$")
+_SAYING = re.compile(r"[^\W_]")
 _HANDLE = re.compile(r"(?<![\w@.])@?[^\W\d_]+(?:[._-][^\W\d_]+)*\d*(?![\w@])")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -141,10 +142,12 @@ def undisguise(form: str) -> tuple[str, np.ndarray | None]:
     if _SAID_WORDS.search(low):
         rules.append((_SAID_NUMBER, _spoken_number))
     edits: list[tuple[int, int, list[tuple[str, int, int]]]] = []
+    taken = bytearray(len(form))
     for pattern, undo in rules:
         for m in pattern.finditer(form):
             done = undo(m)
-            if done and all(m.end() <= b or m.start() >= e for b, e, _ in edits):
+            if done and not any(taken[m.start() : m.end()]):
+                taken[m.start() : m.end()] = b"\1" * len(m.group())
                 edits.append((*m.span(), done))
     if not edits:
         return form, None
@@ -236,7 +239,7 @@ def _like_case(given: str, other: str) -> bool:
 
 def _alone(text: str, begin: int, end: int) -> bool:
     """Whether a span is all of a text but signs."""
-    return not any(map(str.isalnum, text[:begin] + text[end:]))
+    return _SAYING.search(text, 0, begin) is None and _SAYING.search(text, end) is None
 
 
 def _names(text: str, words: Sequence[re.Match], common: frozenset[str]) -> Iterator[tuple[int, int]]:
@@ -309,7 +312,7 @@ def _unlisted_names(text: str, words: Sequence[re.Match], model: NameModel) -> I
         if between.strip(" ." + text[words[i + 1].start()]) or "\n" in between or len(word) < 3 or not word[0].isupper():
             continue
         behind = words[j + 1].group().lower() if j + 1 < len(words) and not text[last.end() : words[j + 1].start()].strip() else ""
-        if behind in _NO_PERSON or text[last.end() : last.end() + 1].isdigit() or _PLACE_BEFORE.search(text, 0, m.start()):
+        if behind in _NO_PERSON or text[last.end() : last.end() + 1].isdigit() or _PLACE_BEFORE.search(text[max(0, m.start() - 24) : m.start()]):
             continue
         low, second = first.lower(), word.lower()
         if {low, second} & TITLES or second in _NO_PERSON or low in _NO_PERSON:
@@ -346,9 +349,11 @@ def find_personal(form: str, common: frozenset[str], model: NameModel | None = N
 
 def _find(form: str, common: frozenset[str], model: NameModel | None) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
+    taken = bytearray(len(form))
 
     def add(begin: int, end: int, kind: str) -> None:
-        if all(end <= b or begin >= e for b, e, _ in found):
+        if not any(taken[begin:end]):
+            taken[begin:end] = b"\1" * (end - begin)
             found.append((begin, end, kind))
 
     if "@" in form:
