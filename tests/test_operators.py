@@ -131,6 +131,21 @@ def test_model_boundary(spark):
     assert fresh.count() == 1
 
 
+def test_embeddings(spark):
+    df = spark.createDataFrame([(1, "hello there"), (2, "hello there"), (3, " "), (4, None), (5, "x" * 50), (6, "cached one"), (7, "fail")], "id int, t string")
+    cache = df.filter("id = 6").select(T.content_key(F.col("t"), "embedding").alias("cache_key"), F.array(F.lit(9.0)).alias("embedding"))
+
+    def backend(texts):
+        assert "cached one" not in texts and all(len(t) <= 20 for t in texts)
+        if "fail" in texts:
+            raise RuntimeError("service")
+        return [[float(len(t))] for t in texts]
+
+    out, fresh = M.embed(df, "t", backend, cache, rows_per_call=1, most_chars=20, wait=0.0)
+    assert {r.id: r.embedding for r in out.collect()} == {1: [11.0], 2: [11.0], 3: None, 4: None, 5: [20.0], 6: [9.0], 7: None}
+    assert fresh.count() == 2
+
+
 def test_replies():
     assert M.match_replies([1, 2, 3], [{"id": "2", "x": 1}, {"y": 2}, None]) == [None, '{"x": 1}', None]
     assert M.match_replies([1, 2], [{"x": 1}, {"x": 2}]) == ['{"x": 1}', '{"x": 2}']

@@ -444,6 +444,43 @@ def smp_07_quotas(spark, sf_dir):
     return S.quota_sample(table(spark, sf_dir, "documents").select("doc_id", "platform"), "platform", "doc_id", {"YouTube": 40, "Instagram": 15})
 
 
+# what seeded samples must come to, whatever the seed draws: sizes, distinct rows, and that they are rows of their table
+
+
+@R.query("select source_file, least(count(*), 5) as n, least(count(*), 5) as known from filtered_v1_kept group by 1")
+def smp_01_sizes(spark, sf_dir):
+    kept = _kept(spark, sf_dir, "source_file")
+    drawn = S.stratified_sample(kept, ["source_file"], "row_id", 5).join(kept.select("row_id", F.lit(1).alias("known")), "row_id", "left")
+    return drawn.groupBy("source_file").agg(F.count_distinct("row_id").alias("n"), F.count("known").alias("known"))
+
+
+@R.query("select least(count(*), 200) as n from documents")
+def smp_02_sizes(spark, sf_dir):
+    return S.global_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 200).agg(F.count_distinct("doc_id").alias("n"))
+
+
+@R.query("select platform, count(*) as docs, floor(count(*) / 6) as least_load, ceil(count(*) / 6) as most_load from documents group by 1")
+def smp_04_loads(spark, sf_dir):
+    """Loads of six coders in a stratum differ by one at most: the smallest and largest are what they must be."""
+    dealt = S.assign_round_robin(table(spark, sf_dir, "documents").select("doc_id", "platform"), ["platform"], "doc_id", list("abcdef"))
+    loads = dealt.groupBy("platform").agg(F.count("*").alias("docs"), *(F.sum((F.col("coder") == c).cast("long")).alias(c) for c in "abcdef"))
+    return loads.select("platform", "docs", F.least(*"abcdef").cast("double").alias("least_load"), F.greatest(*"abcdef").cast("double").alias("most_load"))
+
+
+@R.query("select 20 as items, 60 as places, 5 as for_all, 15 as for_pairs, 10 as least_load, 10 as most_load")
+def smp_05_design(spark, sf_dir):
+    """Five items for all six coders, fifteen for pairs, ten each."""
+    design = S.overlap_design(table(spark, sf_dir, "documents"), "doc_id", [f"coder_{c}" for c in "abcdef"])
+    loads = design.groupBy("coder").agg(F.count("*").alias("n")).agg(F.min("n").alias("least_load"), F.max("n").alias("most_load"))
+    kinds = design.agg(F.count_distinct("doc_id").alias("items"), F.count("*").alias("places"), F.count_distinct(F.when(F.col("group_id") == "all", F.col("doc_id"))).alias("for_all"), F.count_distinct(F.when(F.col("group_id") != "all", F.col("doc_id"))).alias("for_pairs"))
+    return kinds.crossJoin(loads)  # one row each
+
+
+@R.query("select platform, case platform when 'YouTube' then least(count(*), 40) else least(count(*), 15) end as n from documents where platform in ('YouTube', 'Instagram') group by 1")
+def smp_07_sizes(spark, sf_dir):
+    return smp_07_quotas(spark, sf_dir).groupBy("platform").agg(F.count_distinct("doc_id").alias("n"))
+
+
 def queries():
     return R.queries
 
