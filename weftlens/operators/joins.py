@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from weftlens.functions import text as T
+from weftlens.runtime import ship_package
 
 
 def with_verdicts(df: DataFrame, verdicts: DataFrame, key: str, flag: str) -> DataFrame:
@@ -142,27 +148,91 @@ def max_overlap(segments: DataFrame, intervals: DataFrame, file: str, segment_id
     return joined.join(near, [file, "mo_id"], "left").select(file, F.col("mo_id").alias(segment_id), F.coalesce("mo_best", "mo_near").alias(label))
 
 
+def alignment_key(c: Column) -> Column:
+    """What words are compared by: small letters, digits and apostrophes. Spaces stay, so that a whole text can be read at once."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}' ]", "")
+
+
 def align_by_position(words: DataFrame, tokens: DataFrame, file: str, order: str, word: str, label: str, reach: int = 80) -> DataFrame:
     """Speaker labels from a transcript for caption words: word i of N looks near place i/N of the M tokens.
 
     The nearest equal token within ``reach`` places gives the label (ties: the earlier); without one, the token at the
     place itself. ``words`` has ``file, order, word`` and ``tokens`` also ``label``; orders count from 0 in each file.
     """
-    n = words.groupBy(file).agg(F.count("*").alias("ap_n"))
-    m = tokens.groupBy(file).agg(F.count("*").alias("ap_m"))
-    key = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}']", "")
-    w = words.select(file, F.col(order).alias("ap_i"), key(F.col(word)).alias("ap_word")).join(n, file).join(m, file)
-    w = w.withColumn("ap_at", F.least(F.floor(F.col("ap_i") / F.col("ap_n") * F.col("ap_m")), F.col("ap_m") - 1))
-    t = tokens.select(file, F.col(order).alias("ap_j"), key(F.col(word)).alias("ap_word"), F.col(label).alias("ap_label"))
-    # equal words meet in cells of ``reach`` places: a token is in its own, a place looks into its own and both beside it
-    cell = lambda c: F.floor(c / reach)
-    places = w.filter("ap_word <> ''").select(file, "ap_word", "ap_i", "ap_at", F.explode(F.sequence(cell(F.col("ap_at")) - 1, cell(F.col("ap_at")) + 1)).alias("ap_cell"))
-    there = t.filter("ap_word <> ''").withColumn("ap_cell", cell(F.col("ap_j")))
-    away = F.col("ap_j") - F.col("ap_at")
-    met = places.join(there, [file, "ap_word", "ap_cell"]).filter((away >= -reach) & (away < reach))
-    near = met.groupBy(file, "ap_i").agg(F.min_by("ap_label", F.struct(F.abs(away).alias("d"), "ap_j")).alias("ap_near"), F.lit(True).alias("ap_met"))
-    at = t.select(file, F.col("ap_j").alias("ap_at"), F.col("ap_label").alias("ap_there"))
-    return w.join(near, [file, "ap_i"], "left").join(at, [file, "ap_at"], "left").select(file, F.col("ap_i").alias(order), F.coalesce("ap_near", "ap_there").alias(label), F.col("ap_met").isNotNull().alias("matched"))
+    # both sides are grouped as one table: a join would be planned by estimates, which are far too low for words of texts
+    key = F.replace(alignment_key(F.col(word)), F.lit(" "), F.lit("")).alias("ap_key")
+    kind = tokens.schema[label].dataType
+    said = words.select(file, F.lit(True).alias("ap_said"), F.col(order).alias("ap_at"), key, F.lit(None).cast(kind).alias("ap_label"))
+    rows = said.unionByName(tokens.select(file, F.lit(False).alias("ap_said"), F.col(order).alias("ap_at"), key, F.col(label).alias("ap_label")))
+    side = lambda one: F.array_sort(F.collect_list(F.when(one, F.struct("ap_at", "ap_key", "ap_label"))))
+    files = rows.groupBy(file).agg(side(F.col("ap_said")).alias("said"), side(~F.col("ap_said")).alias("held"))
+    turns = F.transform("held", lambda t: F.struct(t["ap_label"].alias("label"), F.array(t["ap_key"]).alias("words")))
+    aligned = align_files(files.select(file, F.transform("said", lambda w: w["ap_key"]).alias("words"), turns.alias("turns")), file, order, label, reach)
+    return aligned.withColumn(order, F.col(order).cast(words.schema[order].dataType))
+
+
+def align_files(files: DataFrame, file: str, order: str, label: str, reach: int = 80) -> DataFrame:
+    """``align_by_position`` of whole files, one row each: ``words`` are the keys of the captions in order, ``turns`` the
+    transcript's in order, each with its ``label`` and the keys of its ``words``. Rows are written file by file; none is moved."""
+    ship_package(files.sparkSession)
+    kind = files.schema["turns"].dataType.elementType["label"].dataType
+    schema = StructType([StructField(file, files.schema[file].dataType), StructField(order, LongType()), StructField(label, kind), StructField("matched", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _file_slices(batch):
+                row, place, name, matched = _nearest_labels(part.column(1), part.column(2), reach)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(place), name, pa.array(matched)], names=schema.names)
+
+    return files.filter(F.col(file).isNotNull()).select(file, "words", "turns").mapInArrow(run, schema)
+
+
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _file_slices(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Runs of whole files with about so many words each, or one file that has more."""
+    if not batch.num_rows:
+        return
+    per_turn = np.concatenate([[0], _lengths(pc.struct_field(pc.list_flatten(batch.column(2)), [1])).cumsum()])
+    ends = per_turn[_lengths(batch.column(2)).cumsum()] + _lengths(batch.column(1)).cumsum()
+    bounds = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), batch.num_rows]
+    for a, b in itertools.pairwise(bounds):
+        yield batch.slice(a, b - a)
+
+
+def _nearest_labels(words: pa.ListArray, turns: pa.ListArray, reach: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """For every word of a file that has tokens: the file's row, the word's place, its label, whether an equal token was near."""
+    flat = pc.list_flatten(turns)
+    labels, said = pc.struct_field(flat, [0]), pc.struct_field(flat, [1])
+    token_turn = np.repeat(np.arange(len(flat)), _lengths(said))
+    token_file = np.repeat(np.arange(len(turns)), _lengths(turns))[token_turn]
+    n, m = _lengths(words), np.bincount(token_file, minlength=len(turns))
+    word_file = np.repeat(np.arange(len(words)), n)
+    i = np.arange(word_file.size) - (n.cumsum() - n)[word_file]
+    keys = pc.dictionary_encode(pc.fill_null(pa.concat_arrays([pc.list_flatten(said), pc.list_flatten(words)]), ""))
+    code, empty, size = keys.indices.to_numpy().astype(np.int64), keys.dictionary.index("").as_py(), len(keys.dictionary)
+    met = m[word_file] > 0
+    word_file, i, word_code = word_file[met], i[met], code[token_file.size :][met]
+    if not i.size:
+        return word_file, i, labels.slice(0, 0), np.zeros(0, bool)
+    first, width = m.cumsum() - m, int(m.max()) + 1
+    spot = np.minimum(np.floor(i / n[word_file] * m[word_file]).astype(np.int64), m[word_file] - 1)
+    # one number holds file, key and place: the tokens beside a place in sorted order are the nearest equal ones
+    place = (token_file * size + code[: token_file.size]) * width + np.arange(token_file.size) - first[token_file]
+    token = np.argsort(place)
+    place, own = place[token], (word_file * size + word_code) * width
+    after = np.searchsorted(place, own + spot, side="right")
+    before, behind = np.maximum(after - 1, 0), np.minimum(after, place.size - 1)
+    back, on = own + spot - place[before], place[behind] - own - spot
+    has_back = (after > 0) & (place[before] >= own) & (back <= reach)
+    has_on = (after < place.size) & (place[behind] < own + width) & (on < reach)
+    matched = (has_back | has_on) & (word_code != empty)
+    near = token_turn[token[np.where(has_back & (~has_on | (back <= on)), before, behind)]]
+    named = labels.is_valid().to_numpy(zero_copy_only=False)
+    turn = np.where(matched & named[near], near, token_turn[first[word_file] + spot])
+    return word_file, i, labels.take(pa.array(turn)), matched
 
 
 def iterations(df: DataFrame, key: str, n: int, done: DataFrame) -> DataFrame:
